@@ -1,0 +1,331 @@
+"""Personal information in free text: anchors found by Aho-Corasick, expanded and validated by local parsers."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
+
+# Common given names of English, German, French and Spanish speakers.
+GIVEN = """
+Adam Agnes Alan Alice Amara Amelia Andrew Anna Arthur Ben Carol Charlotte Chloe Daniel David Dennis Diane Edward Ella
+Emily Emma Eric Eva Felix Fiona Frank George Grace Hannah Harry Helen Henry Hugo Ian Isabel Jack James Jane Jennifer
+Joanna John Julia Karen Kate Kevin Laura Leila Linda Lucy Marcus Margaret Maria Mark Martin Mary Meera Michael Naomi
+Nora Oliver Patrick Paul Peter Priya Rachel Richard Robert Rosa Ruth Samuel Sarah Simon Sophie Susan Tessa Thomas
+Victor Walter Wendy William Yusuf Anja Björn Dörte Franziska Günter Hans Heike Holger Ingrid Jürgen Katrin Klaus Lukas
+Matthias Monika Petra Sabine Silke Stefan Ulrike Ute Uwe Wolfgang Amélie Benoît Camille Chantal Élodie Étienne François
+Gérard Hélène Jacques Laurent Luc Margaux Mathieu Noémie Pascal Pierre Sylvie Thierry Véronique Álvaro Andrés Begoña
+Carlos Carmen Elena Íñigo Inés Javier Joaquín José Juan Lucía Luis Marisol Marta Miguel Nuria Pablo Pilar Rubén Sergio
+Sofía Teresa
+""".split()
+# What stands before a person's name.
+TITLES = "Dr Prof Herr Herrn Frau Mme Mlle Madame Monsieur Mr Mrs Ms Miss Sr Sra Srta Dra Señor Señora".split()
+# The end of what stands before a name that has initials only, or its family name first.
+NAME_CUES = (
+    "by", "to", "ask", "contact", "volunteer:", "signed:", "thanks,", "regards,", "list:", "week:", "laut", "selon", "según", "an", "à", "a",
+    "für", "par", "de", "recibió", "gezeichnet", "lieferanschrift:", "firmado", "firmado:", "signé", "signé:", "atentamente,", "cordialement,",
+    "grüße,", "saludos,", "merci,", "gracias,", "danke,", "from", "with", "von", "und", "and", "et", "y", "que", "nom",
+)
+# What a person does, after initials and a family name.
+NAME_VERBS = ("signed", "wrote", "said", "agreed", "will", "moved", "called", "asked", "has", "is", "was", "hat", "ist", "schrieb", "répond", "est", "a", "atiende", "firmó", "escribió")
+# What stands before the number of a document or person.
+ID_CUES = (
+    "id card", "identity card", "identity number", "id number", "id no", "personal number", "passport", "national insurance", "social security",
+    "ssn", "ausweisnummer", "ausweisnr", "ausweis-nr", "personalausweis", "reisepass", "passnummer", "steuer-id", "numéro national",
+    "pièce d'identité", "pièce d’identité", "documento", "document", "carte d'identité", "carte d’identité", "passeport", "numéro de sécurité sociale", "documento de identidad", "dni", "nie",
+    "número de identidad", "pasaporte",
+)
+# What stands shortly before a telephone number.
+PHONE_CUES = (
+    "phone", "telephone", "telefon", "téléphone", "teléfono", "tel", "tél", "mobile", "mobil", "cell", "fax", "call", "calls", "texted", "text", "dial", "ring", "rang",
+    "unter", "anrufen", "appeler le", "appeler au", "répond au", "joindre au", "llamar al", "atiende en el", "on call", "handy",
+)
+
+_GIVEN = {g.lower() for g in GIVEN}
+_CAP = r"(?:(?:O|D)['’])?(?:Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+"
+_FAMILY = rf"(?:(?:von|van|de|del|di|da|du|la|le|zu)\s){{0,2}}{_CAP}(?:-{_CAP})*"
+_UPPER = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})*"
+_INITIALS = r"(?:[A-ZÀ-ÖØ-Þ]\.-?){1,3}"
+_S = r"\s+"
+_END = r"(?![\w-]|['’]\w)"
+
+_AFTER_GIVEN = re.compile(rf"(?:-{_CAP})?(?:{_S}{_INITIALS})?{_S}{_FAMILY}{_END}")
+_AFTER_GIVEN_UPPER = re.compile(rf"(?:-{_UPPER})?(?:{_S}{_INITIALS})?{_S}{_UPPER}{_END}")
+_GIVEN_TAIL = re.compile(rf"(?:-{_CAP}|-{_UPPER})?(?:{_S}{_INITIALS})?")
+_FAMILY_BEFORE = re.compile(rf"(?<![\w-])({_CAP}(?:-{_CAP})*|{_UPPER}),\s+$")
+_INITIAL_NAME = re.compile(rf"(?<![\w.@-]){_INITIALS}\s{{0,2}}(?:{_CAP}(?:-{_CAP})*|{_UPPER}){_END}")
+_FAMILY_INITIAL = re.compile(rf"{_CAP}(?:-{_CAP})*,\s{_INITIALS}")
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?{_S}(?:(?:{'|'.join(TITLES)})\b\.?{_S})*")
+_ONLY_FAMILY = re.compile(rf"(?:{_FAMILY}|{_UPPER}){_END}")
+_MONSIEUR = re.compile(rf"(?<!\w)M\.{_S}({_FAMILY}|{_UPPER}){_END}(?=\s+(?:répond|est|a|sera|arrive|attend|signe)\b)")
+_CUE_BEFORE = re.compile(rf"(?:^|[\s(:.])(?:{'|'.join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True)))})\s+$", re.I)
+_VERB_AFTER = re.compile(rf"\s+(?:{'|'.join(NAME_VERBS)})\b")
+_NO_FAMILY = {"the", "a", "an", "for", "in", "on", "our", "we", "it", "after", "two", "plates", "flat", "apt", "tel", "der", "die", "das", "le", "la", "les", "el", "los"}
+
+_LOCAL = re.compile(r"[\w][\w.+%-]*$")
+_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\s+dot\s+)"
+_DOMAIN = re.compile(rf"\s*([\w-]+(?:{_DOT}[\w-]+)*{_DOT}[A-Za-z]{{2,}})(?![\w@])", re.I)
+_DOMAIN_WORDS = re.compile(r"\s+([\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+[A-Za-z]{2,})(?![\w@])", re.I)
+
+_TOWN = r"[A-ZÀ-ÖØ-Þ][\w'’-]+(?:\s(?:am|an der|bei|sur|sous|de|del|de la|la|les)\s[A-ZÀ-ÖØ-Þ][\w'’-]+)?"
+_ENGLISH_STREET = r"(?:Street|St\b\.?|Road|Rd\b\.?|Avenue|Ave\b\.?|Lane|Ln\b\.?|Close|Drive|Way|Court|Ct\b\.?|Place|Pl\b\.?|Square|Sq\b\.?|Terrace|Boulevard|Blvd\b\.?|Crescent|Gardens|Row|Hill|Park|Walk|Mews)"
+_ADDRESSES = [
+    re.compile(
+        rf"(?<![\w-])(?:(?:Flat|Apt|Apartment|Unit|Suite|Room)\b\.?\s+\d+\s?[A-Za-z]?,?\s+)?\d+[A-Za-z]?,?\s+(?:[A-ZÀ-Þ][\w'’-]+\s+){{1,3}}?{_ENGLISH_STREET}"
+        rf"(?:,?\s+(?:Apt|Flat|Unit|Suite|Apartment|\#)\.?\s*\d+\s?[A-Za-z]?)?,?\s+[A-ZÀ-Þ][\w'’-]+(?:[  -][A-ZÀ-Þ][\w'’-]+){{0,2}}?,?\s+(?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}}|[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?)(?![\w-])"
+    ),
+    re.compile(
+        rf"(?<![\w-])(?:(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter)\s+(?:(?:der|dem|den)\s+)?)?[A-ZÄÖÜ][\w-]*(?:\s+)?(?:straße|strasse|str\.|Straße|Strasse|Str\.|weg|Weg|platz|Platz|allee|Allee|gasse|Gasse|ring|Ring|ufer|Ufer|damm|hof|markt)\s+\d+\s?[a-z]?(?:\s?-\s?\d+[a-z]?)?,?\s+(?:[A-Z]{{1,2}}-)?\d{{4,5}}\s+{_TOWN}"
+    ),
+    re.compile(
+        rf"(?<![\w-])\d+[A-Za-z]?(?:\s+(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|quai|boulevard|bd|place|chemin|impasse|allée|cours|square|route|passage|Rue|Avenue|Quai|Boulevard|Place|Chemin|Impasse|Allée|Cours|Route)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s?)*[A-ZÀ-Þ][\w'’-]+(?:\s+[A-ZÀ-Þ][\w'’-]+)*,?\s+(?:[A-Z]{{1,2}}-)?\d{{5}}\s+{_TOWN}"
+    ),
+    re.compile(
+        rf"(?<![\w-])(?:Calle|C/|Avenida|Avda\.|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Carretera)\s*(?:(?:de|del|la|las|los|el)\s+)*[A-ZÀ-Þ][\w'’-]+(?:\s+(?:(?:de|del|la|las|los)\s+)*[A-ZÀ-Þ][\w'’-]+)*,?\s+(?:n\.?[º°]\s*)?\d+\s?[a-z]?(?:,?\s+(?:\d+\s?\.?[ºª°]|bajo|ático|piso\s+\d+)(?:\s*[A-Za-z]\b|\s+(?:izq|dcha)\.?)?)?,?\s+\d{{5}}\s+{_TOWN}"
+    ),
+]
+# Words and word ends at which an address is looked for.
+STREETS = (
+    "street", " st", "road", " rd", "avenue", " ave", "lane", " ln", "close", "drive", " way", "court", "place", "square", "terrace", "boulevard", "crescent", "gardens", " row", " hill",
+    " park", " walk", "mews", "straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring ", "ufer", "damm", "hof ", "markt", "rue ", "quai ", "chemin", "impasse", "allée", "cours ", "route ",
+    "passage", "calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "travesía", "carretera", "bd ",
+)
+
+_B = r"[\s.\-]"
+_PLANS = [
+    rf"(?:\+?1{_B}?)?\(\d{{3}}\){_B}?\d{{3}}{_B}\d{{4}}",
+    rf"(?:\+?1{_B})?\d{{3}}{_B}\d{{3}}{_B}\d{{4}}",
+    r"\d{3}-\d{4}",
+    r"(?:(?:\+44|\(\+44\)|0044)\s?(?:\(0\)\s?)?\d{2,4}|\(0\d{2,4}\)|0\d{2,4})\s\d{3,4}\s?\d{3,4}",
+    r"(?:(?:\+44|\(\+44\)|0044)\s?(?:\(0\)\s?)?\d{4}|\(0\d{4}\)|0\d{4})\s\d{6}",
+    r"(?:\+49|\(\+49\)|0049)[\s/-]{0,3}(?:\(0\))?\d{2,4}[\s/-]{1,3}\d{3,8}(?:[\s-]\d{1,5}){0,2}",
+    r"(?:\(0\d{2,4}\)|0\d{2,4})\s?[/-]?\s?\d{3,8}(?:[\s-]\d{2,5})?",
+    r"(?:(?:\+33|\(\+33\)|0033)[\s.-]?(?:\(0\)\s?)?\d|0\d)(?:[\s.-]\d{2}){4}",
+    r"(?:\+34|\(\+34\)|0034)[\s.-]?\d{3}(?:[\s.-]?\d{3}[\s.-]?\d{3}|(?:[\s.-]\d{2}){3})",
+    r"\d{3}(?:(?:[\s.-]\d{2}){3}|(?:[\s.-]\d{3}){2})",
+    r"(?:\+\d{1,3}|\(\+\d{1,3}\)|00\d{2,3})(?:[\s./-]{1,3}(?:\d{1,5}|\(\d{1,5}\))){2,5}",
+]
+_PHONES = [re.compile(p + r"(?![\w]|[.\-/]\d)") for p in _PLANS]
+_PHONE_START = re.compile(r"(?<![\w#.\-/+])(?=\(?\+?\d)")
+_PHONE_CUE = re.compile(rf"(?<!\w)(?:{'|'.join(c.replace(' ', _S) for c in PHONE_CUES)})(?:[\s.:]+(?:no|nr|number|numéro|número|num)\b)?\.?[\s:(]*$", re.I)
+
+_ID_LINK = re.compile(r"(?:\s*(?:no\b|nr\b|n\.?\s?[º°]|number\b|nummer\b|numéro\b|número\b)\.?)?(?:\s+(?:du|de la|de|del|des|der|of|for)(?:\s+\w+)?)?\s*\.?\s*[:#]?\s*", re.I)
+_ID_VALUE = re.compile(r"[A-Z]{0,4}\d[A-Z0-9]*(?:(?:\s|[.\-/])(?:\d[A-Z0-9]*|[A-Z](?![\w'’])))*(?![\w])|[A-Z]{1,4}(?:\s\d[A-Z0-9]*)+(?:\s[A-Z](?![\w'’]))?(?!\w)")
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def anchors():
+    """The automaton that finds all cues in one pass over a text; its values are (kind, length)."""
+    import ahocorasick
+
+    found: dict[str, set[str]] = {}
+    for kind, cues in (
+        ("given", _GIVEN), ("id", ID_CUES), ("street", STREETS),
+        ("at", ("@", "(at)", "[at]", "{at}", " at ", "\nat ", " at\n", " at ", " at ", " at ")),
+    ):
+        for c in cues:
+            found.setdefault(c.lower(), set()).add(kind)
+    automaton = ahocorasick.Automaton()
+    for c, kinds in found.items():
+        automaton.add_word(c, (sorted(kinds), len(c)))
+    automaton.make_automaton()
+    return automaton
+
+
+class Finder:
+    """Finds personal information in texts; make one for a task, as its automaton is not sent along."""
+
+    def __init__(self) -> None:
+        self.automaton = anchors()
+
+    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+        """(start, end, type) of each case, in order and without overlap; none in a null or empty text.
+
+        Where readings overlap, an e-mail address counts before a postal address, an identity number, a telephone
+        number and a name, in this order.
+        """
+        if not text:
+            return []
+        text = re.sub(r"\s", " ", text)  # in place: cues and cases may run over line breaks
+        low = _lower(text)
+        at: dict[str, list[tuple[int, int]]] = {}
+        for end, (kinds, n) in self.automaton.iter(low):
+            for kind in kinds:
+                at.setdefault(kind, []).append((end - n + 1, end + 1))
+        taken = _Taken()
+        for s, e in at.get("at", ()):
+            if hit := _email(text, s, e):
+                taken.add(*hit, "EMAIL")
+        if "street" in at:
+            for pattern in _ADDRESSES:
+                for m in pattern.finditer(text):
+                    taken.add(m.start(), m.end(), "ADDRESS")
+        for s, e in at.get("id", ()):
+            if hit := _id_number(text, s, e):
+                taken.add(*hit, "ID_NUMBER")
+        names = _names(text, at.get("given", ()))
+        people = [*((s, e) for s, e in names), *((s, e) for s, e, kind in taken.spans if kind == "EMAIL")]
+        for s, e in _phones(text, people):
+            taken.add(s, e, "PHONE")
+        for s, e in names:
+            taken.add(s, e, "NAME")
+        return sorted(taken.spans)
+
+    def found(self, text: str | None) -> set[tuple[str, str]]:
+        """(type, text) of the distinct cases, each run of white space as one space."""
+        return {(kind, re.sub(r"\s+", " ", text[s:e])) for s, e, kind in self.spans(text)}
+
+    def redacted(self, text: str | None) -> str | None:
+        """The text with [TYPE] in place of each case and otherwise unchanged."""
+        spans = self.spans(text)
+        if not spans:
+            return text
+        out, last = [], 0
+        for s, e, kind in spans:
+            out += [text[last:s], f"[{kind}]"]
+            last = e
+        return "".join([*out, text[last:]])
+
+
+class _Taken:
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, str]] = []
+
+    def add(self, s: int, e: int, kind: str) -> None:
+        if s < e and not any(s < y and x < e for x, y, _ in self.spans):
+            self.spans.append((s, e, kind))
+
+
+def _email(text: str, s: int, e: int) -> tuple[int, int] | None:
+    plain = text[s:e] == "@"
+    worded = text[s:e].strip().lower() == "at"
+    left = text[max(0, s - 80) : s] if plain or worded else text[max(0, s - 80) : s].rstrip()
+    m = _LOCAL.search(left)
+    if not m or not any(c.isalnum() for c in m[0]):
+        return None
+    start = max(0, s - 80) + m.start()
+    d = _DOMAIN_WORDS.match(text, e - 1) if worded else _DOMAIN.match(text, e)
+    if not d or (plain and text[e : e + 1].isspace()):
+        return None
+    if not worded and re.search(r"\s", d[1]) and not re.search(r"dot", d[1], re.I):
+        return None
+    return start, d.end(1)
+
+
+def _id_number(text: str, s: int, e: int) -> tuple[int, int] | None:
+    if (s and text[s - 1].isalnum()) or (text[e : e + 1].isalpha()):
+        return None
+    link = _ID_LINK.match(text, e)
+    for at in dict.fromkeys((link.end(), e + len(text[e:]) - len(text[e:].lstrip("  \n\t.:#")))):
+        m = _ID_VALUE.match(text, at)
+        if m and sum(c.isdigit() for c in m[0]) >= 5:
+            return m.span()
+    return None
+
+
+def _phones(text: str, people: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    ends, last = {e for _, e in people}, 0
+    for m in _PHONE_START.finditer(text):
+        s = m.start()
+        if s < last:
+            continue
+        best = max((p.end() for p in (x.match(text, s) for x in _PHONES) if p and 7 <= sum(c.isdigit() for c in p[0]) <= 15), default=0)
+        if not best:
+            continue
+        before = text[max(0, s - 40) : s]
+        sure = text[s : s + 2] == "(+" or text[s] == "+" or bool(_PHONE_CUE.search(before))
+        if not sure:  # right after a person's name or address: "Name - 555", "Name (555", "address or 555"
+            gap = re.search(r"(?:\s*[-–,:;(]\s*|\s+(?:or|oder|ou|o|at|on|am|Empfang|\()+\s*|\s*\n\s*)+$", before)
+            sure = bool(gap) and (s - len(gap[0])) in ends
+        if sure:
+            last = best
+            yield s, best
+
+
+def _names(text: str, given: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+
+    def add(s: int, e: int) -> None:
+        if not any(s < y and x < e for x, y in spans):
+            spans.append((s, e))
+
+    firsts = [(s, e) for s, e in given if not (s and (text[s - 1].isalnum() or text[s - 1] in "-_@./")) and not text[e : e + 1].isalnum() and text[e : e + 1] not in ("_", "@", "+") and text[s].isupper()]
+    starts = {s for s, _ in firsts}
+    for s, e in firsts:  # family name first
+        m = _FAMILY_BEFORE.search(text[max(0, s - 60) : s])
+        if not m:
+            continue
+        at = max(0, s - 60) + m.start(1)
+        before = text[max(0, at - 30) : at]
+        if re.search(rf"(?<!\d\s)(?<!\w){_INITIALS}\s?$", before) or any(g in starts and re.fullmatch(rf"\w+(?:\s+{_INITIALS})?\s+", text[g:at]) for g in range(max(0, at - 24), at)):
+            continue  # that family name has its given name before it
+        tail = _GIVEN_TAIL.match(text, e)
+        straight = _AFTER_GIVEN.match(text, e) or (text[s:e].isupper() and _AFTER_GIVEN_UPPER.match(text, e))
+        cued = _CUE_BEFORE.search(before) or _TITLED.search(before + "x") and re.search(rf"(?:{'|'.join(TITLES)})\b\.?\s+$", before)
+        if straight and not cued:
+            continue
+        if m[1].lower() not in _NO_FAMILY and m[1].lower() not in _GIVEN:
+            add(at, tail.end())
+    for s, e in firsts:
+        upper = text[s:e].isupper()
+        m = (_AFTER_GIVEN_UPPER if upper else _AFTER_GIVEN).match(text, e)
+        if m and m[0].split()[-1].lower() not in _NO_FAMILY:
+            add(s, m.end())
+    for m in _TITLED.finditer(text):
+        if n := (_INITIAL_NAME.match(text, m.end()) or _ONLY_FAMILY.match(text, m.end())):
+            if n[0].lower() not in _NO_FAMILY:
+                first = n[0].lower() in _GIVEN and re.compile(rf"{_S}{_FAMILY}{_END}").match(text, n.end())
+                add(n.start(), first.end() if first else n.end())
+    for m in _MONSIEUR.finditer(text):
+        add(*m.span(1))
+    for m in _INITIAL_NAME.finditer(text):
+        s, e = m.span()
+        before = text[max(0, s - 30) : s]
+        if re.search(r"\d\s$", before) or re.sub(rf"{_INITIALS}\s*", "", m[0]).lower() in _NO_FAMILY:
+            continue  # 21 C. The ...
+        listed = any(y <= s and text[y:s].strip() == "," for _, y in spans)
+        if _CUE_BEFORE.search(before) or listed or _VERB_AFTER.match(text, e):
+            add(s, e)
+    return sorted(spans)
+
+
+def personal_information(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pii_type, pii_text), distinct: e-mail addresses, telephone and identity numbers, postal addresses and
+    names of private persons, as they stand in each whole text, each run of white space as one space.
+
+    One pass over the texts, nothing is shuffled. Null and empty texts have no cases.
+    """
+    kind = documents.schema[doc_id].dataType.simpleString()
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder()
+        for batch in batches:
+            rows = [(i, k, t) for i, x in zip(batch["d"], batch["t"]) for k, t in sorted(finder.found(x))]
+            yield pd.DataFrame(rows, columns=["d", "k", "p"])
+
+    rows = documents.selectExpr(f"`{doc_id}` d", f"`{text}` t").mapInPandas(find, f"d {kind}, k string, p string")
+    return rows.toDF(doc_id, "pii_type", "pii_text")
+
+
+def redact(documents: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:
+    """documents with a column out: the text with typed placeholders for personal information, otherwise unchanged.
+
+    Null stays null. Other columns, whatever their names, are kept as they are.
+    """
+    from pyspark.sql import functions as F
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Finder()
+        for batch in batches:
+            yield batch.map(lambda x: finder.redacted(x) if isinstance(x, str) else None).astype(object)
+
+    clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return documents.withColumn(out, F.pandas_udf(clean, "string")(F.col(f"`{text}`")))
