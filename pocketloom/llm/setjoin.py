@@ -27,7 +27,7 @@ _EPS = 1e-9
 def substrings(text: str, q: int) -> np.ndarray:
     """The distinct substrings of q characters as sorted 64-bit numbers; none for shorter text.
 
-    Eight ASCII characters are their own bytes, so that nothing can collide; others are hashed.
+    Eight ASCII characters are their own bytes, so that they can't collide; others are hashed to numbers beyond those.
     """
     n = len(text) - q + 1
     if n <= 0:
@@ -35,8 +35,13 @@ def substrings(text: str, q: int) -> np.ndarray:
     if q == 8 and text.isascii():
         raw = np.frombuffer(text.encode("ascii"), np.uint8)
         return np.unique(np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(">u8").ravel().astype(np.uint64))
-    h = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((h(text[i : i + q]) for i in range(n)), np.uint64, n))
+    return np.unique(np.fromiter((_number(text[i : i + q]) for i in range(n)), np.uint64, n))
+
+
+def _number(piece: str) -> int:
+    if len(piece) == 8 and piece.isascii():
+        return int.from_bytes(piece.encode("ascii"), "big")
+    return xxhash.xxh3_64_intdigest(piece) | 1 << 63
 
 
 def _mix(tokens: np.ndarray) -> np.ndarray:
@@ -48,9 +53,9 @@ def _mix(tokens: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def least_overlap(a: int, b: int, threshold: float) -> int:
-    """Shared tokens that sets of a and b tokens need at least."""
-    return ceil(threshold / (1 + threshold) * (a + b) - _EPS)
+def least_overlap(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Shared tokens that two sets of so many tokens together need at least."""
+    return np.ceil(threshold / (1 + threshold) * sizes - _EPS).astype(np.int32)
 
 
 def token_frequencies(texts: DataFrame, column: str, q: int) -> np.ndarray:
@@ -131,6 +136,8 @@ def similar_pairs(values: DataFrame, column: str, threshold: float = 0.6, q: int
     text. The list of a token that more than block texts hold is cut into blocks, and each pair of blocks is a group
     of its own, so that no token brings its whole list into one task.
     """
+    if not 0 < threshold <= 1 or q < 1 or block < 1:
+        raise ValueError("threshold must be above 0 and at most 1, q and block at least 1")
     spark = values.sparkSession
     texts = values.select(F.col(column).alias("text")).where(F.length(column) >= q).distinct()
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
@@ -193,7 +200,8 @@ def _compared(rows: dict[str, np.ndarray], threshold: float) -> Iterator[np.ndar
     left = np.flatnonzero(place < size - np.ceil(least * size - _EPS) + 1)  # the smaller side needs a shorter prefix
     if not len(left):
         return
-    need_of = np.ceil(threshold / (1 + threshold) * np.arange(2 * int(size[-1]) + 1) - _EPS).astype(np.int32)
+    both = 2 * int(size[-1]) + 1
+    known = least_overlap(np.arange(both), threshold) if both < 10_000 else None
     maps = [rows[f"b{k}"].view(np.uint64) for k in range(WORDS)]
     half = rows["half"] if rows["half"].any() else None
     start = 0
@@ -207,7 +215,7 @@ def _compared(rows: dict[str, np.ndarray], threshold: float) -> Iterator[np.ndar
         if not len(i):
             continue
         a, b = size[i][:, None], size[j][None, :]
-        need = need_of[a + b]
+        need = known[a + b] if known is not None else least_overlap(a + b, threshold)
         fits = (place[i][:, None] <= a - need) & (place[j][None, :] <= b - need) & (i[:, None] < j[None, :]) & (a >= threshold * b - _EPS)
         apart = np.bitwise_count(maps[0][i][:, None] ^ maps[0][j][None, :]).astype(np.int16)
         for m in maps[1:]:

@@ -17,14 +17,16 @@ CUTS = 24
 def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row of each key: the first by order, nulls last. A row whose key is null stands for itself.
 
-    One shuffle, by a hash of the key. The row is picked by looking back rather than by rank: a rank limit would sort
-    before the shuffle too, to no avail as keys rarely repeat within a task. Rows that tie in all of order: any one.
+    One shuffle, by a hash of the key; rows without a key are spread by a hash of their columns instead. The row is
+    picked by looking back rather than by rank: a rank limit would sort before the shuffle too, to no avail as keys
+    rarely repeat within a task. Rows that tie in all of order: any one.
     """
-    lone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    lone = F.when(F.col(key).isNull(), F.xxhash64(*df.columns))
     spread = df.withColumn("__lone", lone).withColumn("__hash", F.xxhash64(key, "__lone"))
     w = W.partitionBy("__hash", key, "__lone").orderBy(*(F.asc_nulls_last(c) for c in order))
     before = F.lag(F.lit(True)).over(w)
-    return spread.withColumn("__before", before).where(F.col("__before").isNull()).drop("__before", "__hash", "__lone")
+    kept = spread.withColumn("__before", before).where(F.col(key).isNull() | F.col("__before").isNull())
+    return kept.drop("__before", "__hash", "__lone")
 
 
 def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int = 3, rank: str = "rank_no") -> DataFrame:
