@@ -118,7 +118,7 @@ def split_violations(assignment: DataFrame, ligands: DataFrame, edges: DataFrame
     """One row that counts what is wrong with an assignment (ligand, split): missing and extra ligands, illegal labels,
     and edges (src, dst) whose ends lie in different active splits."""
     active = assignment.where(F.col("split").isin(*ACTIVE_SPLITS))
-    src, dst = active.toDF("src", "s"), active.toDF("dst", "d")
+    src, dst = active.select("ligand", "split").toDF("src", "s"), active.select("ligand", "split").toDF("dst", "d")
     crossing = edges.join(src, "src").join(dst, "dst").where("s <> d")
     counts = {
         "missing": ligands.join(assignment, "ligand", "left_anti"),
