@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pocketloom.runtime import SPACE
+
 # What a CSV reader of data frames takes as missing.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -50,4 +52,4 @@ def clean_numbers(df: DataFrame) -> DataFrame:
 
 def stripped(column: Column) -> Column:
     """Text without white space at either end, tabs and line breaks included."""
-    return F.regexp_replace(F.regexp_replace(column.cast("string"), r"^\s+", ""), r"\s+$", "")
+    return F.btrim(column.cast("string"), F.lit(SPACE))

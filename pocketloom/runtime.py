@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 #: White space as Python's str.strip() understands it: blanks, tabs, line breaks, no-break and typographic spaces.
-SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 _made: dict[str, SparkSession] = {}
 
@@ -84,7 +84,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def trimmed(column: Column | str) -> Column:
     """Text without surrounding white space; null if nothing is left."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.nullif(F.regexp_replace(c.cast("string"), f"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(SPACE)), F.lit(""))
 
 
 def accession(column: Column | str) -> Column:
