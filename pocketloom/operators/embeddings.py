@@ -38,3 +38,17 @@ def standardized(df: DataFrame, vector: str, mean: list[float], deviation: list[
     scale = [d if d > 0 else 1.0 for d in deviation]
     moved = F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, mean)), lambda x, m: x - m)
     return df.withColumn(out, F.zip_with(moved, F.array(*map(F.lit, scale)), lambda x, s: x / s))
+
+
+def target_moments(train: DataFrame, target: str) -> tuple[float, float]:
+    """Mean and population standard deviation of a number, of the train rows only; 0 and 1 where there are none."""
+    mean, deviation = train.agg(F.avg(target), F.stddev_pop(target)).first()
+    return (mean or 0.0), (deviation or 1.0)
+
+
+def scaled_target(df: DataFrame, target: str, mean: float, deviation: float) -> DataFrame:
+    return df.withColumn(target, (F.col(target) - F.lit(mean)) / F.lit(deviation))
+
+
+def unscaled_target(df: DataFrame, target: str, mean: float, deviation: float) -> DataFrame:
+    return df.withColumn(target, F.col(target) * F.lit(deviation) + F.lit(mean))

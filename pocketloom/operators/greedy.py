@@ -173,6 +173,7 @@ def report(graph: Graph, results: list[Restart], edges: int, stats: list, fracti
     stats: rows of protein_stats, one for each protein.
     """
     best, targets = winner(results), target_counts(len(graph.ligands), fractions)
+    # The labels and widths of the report.
     head = {
         "total_ligands": len(graph.ligands), "total_conflicts": edges, "targets": ", ".join(f"{s}={targets[s]}" for s in ACTIVE_SPLITS),
         "winning_restart": best.number, "winning_seed": best.seed, "winning_balance_penalty": f"{best.penalty:.6f}",

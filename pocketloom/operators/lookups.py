@@ -9,14 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pocketloom.operators.contracts import ContractError, assert_unique
-from pocketloom.runtime import broadcast_if_small, materialize
+from pocketloom.runtime import BROADCAST_ROWS, materialize
 
 
-def join_many_to_one(left: DataFrame, right: DataFrame, on: list[str] | list[tuple[str, str]], how: str = "inner", name: str = "the right side") -> DataFrame:
+def join_many_to_one(
+    left: DataFrame, right: DataFrame, on: list[str] | list[tuple[str, str]], how: str = "inner", name: str = "the right side", unique: bool = False
+) -> DataFrame:
     """left with the columns of right; a key that right repeats is an error. Null keys match nothing.
 
     on names columns of both sides, or pairs of a left and a right column. Columns of right keep their names, so they
-    must not clash with others of left. right is broadcast only if counted to be small.
+    must not clash with others of left. One pass over the keys of right tells whether they repeat and whether right is
+    small enough to broadcast. unique says that right is grouped by its keys: then nothing is checked, and the join is
+    left to adaptive execution.
     """
     pairs = [(x, x) if isinstance(x, str) else x for x in on]
     keys = [f"__r{i}" for i in range(len(pairs))]
@@ -25,9 +29,14 @@ def join_many_to_one(left: DataFrame, right: DataFrame, on: list[str] | list[tup
     if clash:
         raise ContractError(f"both sides of the join have the columns {sorted(clash)}")
     side = right.select(*(F.col(f"`{r}`").alias(k) for (_, r), k in zip(pairs, keys)), *others).dropna(subset=keys)
-    assert_unique(side, keys, name)
+    if not unique:
+        rows, most = side.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+        if (most or 0) > 1:
+            assert_unique(side, keys, name)
+        if (rows or 0) <= BROADCAST_ROWS:
+            side = F.broadcast(side)
     condition = reduce(Column.__and__, (left[f"`{x}`"] == side[k] for (x, _), k in zip(pairs, keys)))
-    return left.join(broadcast_if_small(side), condition, how).drop(*keys)
+    return left.join(side, condition, how).drop(*keys)
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -42,7 +51,7 @@ def matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 def with_protein_index(df: DataFrame, proteins: DataFrame) -> DataFrame:
     """df with protein_idx by uniprot_id; a protein that proteins lacks is an error."""
-    out = join_many_to_one(df, proteins.select("uniprot_id", "protein_idx"), ["uniprot_id"], "left", "the protein table")
+    out = materialize(join_many_to_one(df, proteins.select("uniprot_id", "protein_idx"), ["uniprot_id"], "left", "the protein table"), "indexed")
     gone = [r[0] for r in out.where("protein_idx IS NULL").select("uniprot_id").distinct().orderBy("uniprot_id").limit(10).collect()]
     if gone:
         raise ContractError(f"proteins without an index: {gone}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -16,17 +17,17 @@ from pyspark.sql import functions as F
 from pocketloom.functions.chemistry import ngram_bits, plain_canonical_or_null
 from pocketloom.functions.nulls import lenient_double, stripped, whole_number
 from pocketloom.operators.contracts import ContractError, assert_index_agrees, assert_splits_filled, require_columns
-from pocketloom.operators.embeddings import with_descriptors
+from pocketloom.operators.embeddings import scaled_target, target_moments, unscaled_target, with_descriptors
 from pocketloom.operators.metrics import metrics_by, with_errors
 from pocketloom.runtime import materialize
 from pocketloom.schemas import FINGERPRINT_BITS, PREDICTION, PROTEIN
-from pocketloom.sources.experiments import ModelData, ModelExperiment, load, run_folder
+from pocketloom.sources.experiments import MODEL, Section, data_section, load, run_folder
 from pocketloom.sources.matrices import read_matrix
 from pocketloom.sources.runs import keep_config, loss_plot, make_run_folder, write_json, write_split_outputs
 from pocketloom.sources.tables import read_csv, read_csv_checked, read_manifest, write_single_csv
 
 
-def usable(affinities: DataFrame, data: ModelData = ModelData()) -> DataFrame:
+def usable(affinities: DataFrame, data: Section = data_section(MODEL)) -> DataFrame:
     """(uniprot_id, protein_idx, ligand, ligand_idx, split, true_affinity) by the configured column names: active
     splits, wanted proteins, a number to learn, a whole index of 0 or more, and a ligand that is not blank."""
     names = {
@@ -54,7 +55,7 @@ def valid_ligands(rows: DataFrame, canonical: Callable[[Column], Column] = plain
     return parsed.where("__c IS NOT NULL").withColumn("ligand", F.col("__c")).drop("__c")
 
 
-def model_rows(affinities: DataFrame, matrix: DataFrame, proteins: DataFrame | None, data: ModelData = ModelData(), require_val: bool = True) -> DataFrame:
+def model_rows(affinities: DataFrame, matrix: DataFrame, proteins: DataFrame | None, data: Section = data_section(MODEL), require_val: bool = True) -> DataFrame:
     """usable rows with the descriptor of their protein; indices must lie within the matrix and agree with proteins."""
     rows = materialize(usable(affinities, data), "examples")
     assert_splits_filled(rows, data.active_splits, require_val)
@@ -72,7 +73,7 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def summary_text(config: ModelExperiment, row: dict, shape: tuple[int, int]) -> str:
+def summary_text(config: Section, row: dict, shape: tuple[int, int]) -> str:
     fields = {
         "Experiment": config.experiment_name, "Output dir": run_folder(config), "Rows after filtering": row["rows_after_filtering"],
         "Train/val/test": f"{row['num_train']} / {row['num_val']} / {row['num_test']}", "Unique proteins": row["unique_proteins"],
@@ -81,23 +82,25 @@ def summary_text(config: ModelExperiment, row: dict, shape: tuple[int, int]) ->
     return "\n".join(f"{k}: {v}" for k, v in fields.items())
 
 
-def _inputs(spark: SparkSession, config: ModelExperiment) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _inputs(spark: SparkSession, config: Section) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     proteins = config.paths.protein_manifest_csv
     table = read_manifest(spark, proteins, PROTEIN) if proteins is not None else None
     return read_csv(spark, config.paths.affinity_split_csv), read_matrix(spark, config.paths.esm_embeddings_npy), table
 
 
 def dry_run(spark: SparkSession, experiment: str | Path, root: str | Path = ".") -> str:
-    config = load(ModelExperiment, experiment, root, check_run=False)
+    config = load(MODEL, experiment, root, check_run=False)
     affinities, matrix, proteins = _inputs(spark, config)
     shape = (matrix.count(), matrix.agg(F.max(F.size("descriptor"))).first()[0])
     return summary_text(config, summary(model_rows(affinities, matrix, proteins, config.data)).first().asDict(), shape)
 
 
 def features(rows: DataFrame, bits: Callable[[Column], Column] = ngram_bits, size: int = FINGERPRINT_BITS) -> DataFrame:
-    """rows with vectors fingerprint (1 for each on-bit) and protein (the descriptor)."""
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(bits(F.col("ligand")), i.cast("int")).cast("double"))
-    return rows.withColumns({"fingerprint": array_to_vector(dense), "protein": array_to_vector(F.col("descriptor").cast("array<double>"))})
+    """rows with vectors fingerprint (1 for each on-bit) and protein (the descriptor). The on-bits are written down
+    first; else Spark would find them again for each of the size places."""
+    known = materialize(rows.withColumn("__bits", bits(F.col("ligand"))), "bits")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains("__bits", i.cast("int")).cast("double"))
+    return known.withColumns({"fingerprint": array_to_vector(dense), "protein": array_to_vector(F.col("descriptor").cast("array<double>"))}).drop("__bits")
 
 
 def regressor(epochs: int = 50, standardize: bool = True) -> Pipeline:
@@ -108,13 +111,21 @@ def regressor(epochs: int = 50, standardize: bool = True) -> Pipeline:
     return Pipeline(stages=[scale, join, fit])
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return with_errors(model.transform(features(rows))).select(*PREDICTION.fieldNames())
+def fitted(learn: DataFrame, epochs: int = 50, standardize: bool = True, scale_target: bool = True) -> tuple[PipelineModel, tuple[float, float]]:
+    """The regressor fitted on train rows, and the moments by which their target was scaled first (0 and 1 if not)."""
+    moments = target_moments(learn, "true_affinity") if scale_target else (0.0, 1.0)
+    return regressor(epochs, standardize).fit(features(scaled_target(learn, "true_affinity", *moments))), moments
+
+
+def predict(model: PipelineModel, rows: DataFrame, moments: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """Predictions in the target's own scale, with their errors; declared columns only, as far as they are there."""
+    out = with_errors(unscaled_target(model.transform(features(rows)), "predicted_affinity", *moments))
+    return out.select(*(c for c in PREDICTION.fieldNames() if c in out.columns))
 
 
 def train(spark: SparkSession, experiment: str | Path, root: str | Path = ".") -> DataFrame:
     """Fits on train, writes the model, its loss history, and predictions and results of train and val; never of test."""
-    config = load(ModelExperiment, experiment, root)
+    config = load(MODEL, experiment, root)
     if config.outputs.evaluate_test_during_training:
         raise ContractError("test is evaluated apart, never during training")
     out = make_run_folder(config.paths.runs_dir, config.experiment_name, config.outputs.overwrite_existing_run)
@@ -122,13 +133,14 @@ def train(spark: SparkSession, experiment: str | Path, root: str | Path = ".") -
     affinities, matrix, proteins = _inputs(spark, config)
     rows = materialize(valid_ligands(model_rows(affinities, matrix, proteins, config.data), drop_invalid=config.data.drop_invalid_smiles), "rows")
     learn = rows.where("split = 'train'")
-    model = regressor(config.training.max_epochs, config.model.normalize_protein_descriptors).fit(features(learn))
+    model, moments = fitted(learn, config.training.max_epochs, config.model.normalize_protein_descriptors, config.model.normalize_targets)
+    write_json({"mean": moments[0], "deviation": moments[1]}, out / "model" / "target.json")
     model.write().overwrite().save(str(out / "model" / "pipeline"))
     losses = [{"epoch": i, "train_loss": x, "val_loss": None} for i, x in enumerate(model.stages[-1].summary.objectiveHistory)]
     write_single_csv(spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_loss"]) for h in losses], "epoch int, train_loss double, val_loss double"), out / "loss_history.csv")
     loss_plot(losses, out / "train_val_loss.png")
     shown = [s for s in config.data.active_splits if s != "test"]
-    done = _judged(predict(model, rows.where(F.col("split").isin(*shown))), shown, out)
+    done = _judged(predict(model, rows.where(F.col("split").isin(*shown)), moments), shown, out)
     facts = summary(rows).first().asDict()
     write_json({"experiment_name": config.experiment_name, "active_splits": list(config.data.active_splits), "data": config.data, **facts}, out / "run_metadata.json")
     return done
@@ -136,14 +148,15 @@ def train(spark: SparkSession, experiment: str | Path, root: str | Path = ".") -
 
 def evaluate_test(spark: SparkSession, experiment: str | Path, model: str | Path | None = None, root: str | Path = ".") -> Path:
     """Predictions and results of test by a kept model, in a new folder named by the time."""
-    config = load(ModelExperiment, experiment, root, check_run=False)
+    config = load(MODEL, experiment, root, check_run=False)
     folder = run_folder(config)
-    kept = PipelineModel.load(str(model or folder / "model" / "pipeline"))
+    path = Path(model) if model else folder / "model" / "pipeline"
+    kept, scale = PipelineModel.load(str(path)), json.loads((path.parent / "target.json").read_text(encoding="utf-8"))
     affinities, matrix, proteins = _inputs(spark, config)
     rows = valid_ligands(model_rows(affinities, matrix, proteins, config.data, require_val=False), drop_invalid=config.data.drop_invalid_smiles)
     out = folder / time.strftime("test_evaluation_%Y%m%d_%H%M%S")
     out.mkdir(parents=True)
-    _judged(predict(kept, rows.where("split = 'test'")), ["test"], out)
+    _judged(predict(kept, rows.where("split = 'test'"), (scale["mean"], scale["deviation"])), ["test"], out)
     return out
 
 

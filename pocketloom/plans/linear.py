@@ -13,7 +13,7 @@ from pocketloom.operators.lookups import join_many_to_one
 from pocketloom.operators.metrics import fitted_line, metrics_by, with_prediction
 from pocketloom.operators.ranking import minimum_scores
 from pocketloom.runtime import materialize
-from pocketloom.sources.experiments import LinearData, LinearExperiment, load
+from pocketloom.sources.experiments import LINEAR, Section, data_section, load
 from pocketloom.sources.runs import keep_config, make_run_folder, write_json, write_split_outputs
 from pocketloom.sources.tables import read_csv
 
@@ -25,7 +25,7 @@ def lowest_scores(poses: DataFrame) -> DataFrame:
     return minimum_scores(poses.withColumn("glide_score", lenient_double(F.col("glide_score"))))
 
 
-def rated(affinities: DataFrame, data: LinearData = LinearData()) -> DataFrame:
+def rated(affinities: DataFrame, data: Section = data_section(LINEAR)) -> DataFrame:
     """(uniprot_id, ligand, true_affinity, split) of the active splits and wanted proteins, by the configured column
     names; rows with a missing ligand, split or number drop out."""
     names = {data.uniprot_id_column: "uniprot_id", data.ligand_column: "ligand", data.target_column: "true_affinity", data.split_column: "split"}
@@ -37,9 +37,9 @@ def rated(affinities: DataFrame, data: LinearData = LinearData()) -> DataFrame:
     return rows.withColumn("true_affinity", lenient_double(F.col("true_affinity"))).dropna(subset=["ligand", "true_affinity", "split"])
 
 
-def examples(poses: DataFrame, affinities: DataFrame, data: LinearData = LinearData()) -> DataFrame:
+def examples(poses: DataFrame, affinities: DataFrame, data: Section = data_section(LINEAR)) -> DataFrame:
     """Rated ligands that have a pose of the same protein, with its lowest score as min_glide_score."""
-    return join_many_to_one(rated(affinities, data), lowest_scores(poses), ["uniprot_id", "ligand"], name="the lowest scores")
+    return join_many_to_one(rated(affinities, data), lowest_scores(poses), ["uniprot_id", "ligand"], unique=True)
 
 
 def predictions(joined: DataFrame) -> tuple[DataFrame, float, float]:
@@ -53,9 +53,9 @@ def evaluate(
 ) -> DataFrame:
     """Fits, predicts and writes predictions, results and plots of every split that has examples, from an experiment
     file or from paths. With an experiment the run folder must be free, and its metadata is written too."""
-    config = load(LinearExperiment, experiment, root) if experiment is not None else None
-    data = config.data if config else LinearData()
-    if config:
+    config = load(LINEAR, experiment, root) if experiment is not None else None
+    data = config.data if config else data_section(LINEAR)
+    if config is not None:
         out = make_run_folder(config.paths.runs_dir, config.experiment_name, config.outputs.overwrite_existing_run)
         keep_config(experiment, out)
         poses, affinities = config.paths.pose_csv, config.paths.affinity_split_csv
@@ -76,7 +76,7 @@ def evaluate(
     ordered = {s: {"pearson_r": v["pearson_r"], "num_examples": v["num_examples"], "slope": slope, "intercept": intercept} for s, v in by.items()}
     texts = {s: {k: v[k] for k in ("num_examples", "pearson_r", "slope", "intercept")} for s, v in ordered.items()}
     write_split_outputs(rows, texts, data.active_splits, Path(out), ["uniprot_id", "ligand"], skip_empty=True)
-    if config:
+    if config is not None:
         meta = {
             "experiment_name": config.experiment_name, "include_uniprot_ids": list(data.include_uniprot_ids), "active_splits": list(data.active_splits),
             "slope": slope, "intercept": intercept, **{f"num_{s}": sizes.get(s, 0) for s in ("train", "val", "test")},

@@ -19,7 +19,7 @@ from pocketloom.operators.lookups import dense_index, index_from_dictionary, mat
 from pocketloom.operators.metrics import fit_line, metrics_by, with_errors
 from pocketloom.operators.ranking import first_wins, minimum_scores, with_pose_ranks
 from pocketloom.operators.similarity import degrees, fingerprints, tanimoto_pairs
-from pocketloom.plans.affinity_model import summary, usable, valid_ligands
+from pocketloom.plans.affinity_model import fitted, predict, summary, usable, valid_ligands
 from pocketloom.plans.docking import commands, conversion_sources, docking_jobs
 from pocketloom.plans.linear import examples, predictions
 from pocketloom.plans.manifests import affinity_split_table, annotated
@@ -399,6 +399,14 @@ def dry_run_summary(spark, sf):
     return summary(_described(spark, sf))
 
 
+@query()
+def model_predictions(spark, sf):
+    """Of the regressor fitted on the train rows, for all active splits."""
+    rows = materialize(_described(spark, sf), "rows")
+    model, moments = fitted(rows.where("split = 'train'"), epochs=10)
+    return predict(model, rows, moments)
+
+
 @query(f"WITH {_USABLE}, {_PROTEINS} SELECT DISTINCT u.uniprot_id, u.protein_idx, p.protein_idx AS expected FROM usable AS u LEFT JOIN proteins AS p USING (uniprot_id) WHERE p.protein_idx IS NULL OR p.protein_idx <> u.protein_idx")
 def index_disagreements(spark, sf):
     return index_mismatches(usable(_rated(spark, sf)), _proteins(spark, sf))

@@ -12,6 +12,7 @@ def _struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in text.split(","))])
 
 
+# The columns of the tables, in their order, and the defaults of the pipeline.
 RAW_BINDING = _struct("uniprot_id string, smiles string, binding_affinity double, pIC50 double")
 AFFINITY = _struct("uniprot_id string, ligand string, affinity double")
 SPLIT = _struct("ligand string, ligand_idx int, split string")

@@ -132,7 +132,7 @@ def write_inputs(tmp_path):
 
 def test_model_rows_use_the_protein_index(spark, tmp_path):
     path, _ = write_inputs(tmp_path)
-    config = experiments.load(experiments.ModelExperiment, path, tmp_path)
+    config = experiments.load(experiments.MODEL, path, tmp_path)
     affinities, matrix, proteins = affinity_model._inputs(spark, config)
     got = affinity_model.model_rows(affinities, matrix, proteins, config.data)
     assert {(r["split"], r["ligand"]) for r in got.collect()} == {("train", "CCC"), ("val", "CCN"), ("test", "CNC")}
@@ -179,7 +179,7 @@ def test_linear_baseline(spark, tmp_path):
     assert {(r["ligand"], r["split"], r["min_glide_score"], round(r["predicted_affinity"], 6)) for r in got.collect()} == {("CCO", "train", -5.0, 6.0), ("CCC", "train", -6.0, 7.0), ("CCN", "val", -7.0, 8.0), ("CCO", "test", -5.0, 6.0)}
     text = (tmp_path / "out" / "results_train.txt").read_text().splitlines()
     assert text[:2] == ["split: train", "num_examples: 2"] and float(text[3].split()[1]) == pytest.approx(-1) and text[4].startswith("intercept: ")
-    only = linear.examples(tables.read_csv(spark, str(tmp_path / "p.csv")), tables.read_csv(spark, str(tmp_path / "a.csv")), experiments.LinearData(include_uniprot_ids=("P22222",)))
+    only = linear.examples(tables.read_csv(spark, str(tmp_path / "p.csv")), tables.read_csv(spark, str(tmp_path / "a.csv")), experiments.data_section(experiments.LINEAR, include_uniprot_ids=["P22222"]))
     assert only.count() == 2
     config = {"experiment_name": "line", "paths": {"pose_csv": "p.csv", "affinity_split_csv": "a.csv", "runs_dir": "runs"}}
     (tmp_path / "e.json").write_text(json.dumps(config))
@@ -195,16 +195,16 @@ def test_linear_baseline(spark, tmp_path):
 
 def test_experiment_files(tmp_path):
     path, config = write_inputs(tmp_path)
-    got = experiments.load(experiments.ModelExperiment, path, tmp_path)
+    got = experiments.load(experiments.MODEL, path, tmp_path)
     assert got.training.max_epochs == 2 and got.training.batch_size == 64 and got.data.include_uniprot_ids == ("P22222",) and got.paths.esm_embeddings_npy == tmp_path / "esm.npy"
-    assert experiments.build(experiments.ModelExperiment, {"paths": {"protein_manifest_csv": None}}, tmp_path).paths.protein_manifest_csv is None
+    assert experiments.build(experiments.MODEL, {"paths": {"protein_manifest_csv": None}}, tmp_path).paths.protein_manifest_csv is None
     for change in ({"experiment_name": "a b"}, {"experiment_name": ""}, {"data": {"active_splits": ["val"]}}, {"model": {"aggregation": "sum"}}, {"model": {"message_passing": {"type": "atom"}}}, {"training": {"batch_size": 0}}):
         path.write_text(json.dumps(config | change))
         with pytest.raises(ContractError):
-            experiments.load(experiments.ModelExperiment, path, tmp_path)
+            experiments.load(experiments.MODEL, path, tmp_path)
     path.write_text(json.dumps(config | {"paths": {"affinity_split_csv": "gone.csv"}}))
     with pytest.raises(FileNotFoundError, match="gone.csv"):
-        experiments.load(experiments.ModelExperiment, path, tmp_path)
+        experiments.load(experiments.MODEL, path, tmp_path)
 
 
 def test_run_folders_and_plots(tmp_path):
@@ -214,7 +214,7 @@ def test_run_folders_and_plots(tmp_path):
     for name, over in (("r", False), ("file", True)):
         with pytest.raises(FileExistsError):
             runs.make_run_folder(tmp_path, name, over)
-    assert json.loads(runs.write_json({"b": tmp_path, "a": experiments.Outputs()}, folder / "x.json").read_text())["b"] == str(tmp_path)
+    assert json.loads(runs.write_json({"b": tmp_path, "a": experiments.build(experiments.LINEAR).outputs}, folder / "x.json").read_text())["b"] == str(tmp_path)
     kept = runs.keep_checkpoint(tmp_path / "file", folder / "model" / "best")
     assert runs.keep_checkpoint(kept, kept).read_text() == "x"
     with pytest.raises(ContractError):
