@@ -48,3 +48,10 @@ def membership_digest(values: DataFrame, column: str) -> str:
     for row in values.select(column).dropna().distinct().orderBy(column).toLocalIterator():
         digest.update(row[0].encode() + b"\0")
     return digest.hexdigest()
+
+
+def set_digest(values: DataFrame, column: str) -> str:
+    """A fingerprint of the set of distinct values, the same in any order, summed up within the tasks."""
+    each = values.select(column).dropna().distinct()
+    parts = each.agg(F.count(F.lit(1)), *(F.bit_xor(F.xxhash64(F.lit(k), column)) for k in range(4))).first()
+    return hashlib.sha256(repr(tuple(parts)).encode()).hexdigest()

@@ -21,19 +21,17 @@ def with_pose_ranks(poses: DataFrame, groups: tuple[str, ...] = ("pdb_key", "lig
     score = F.when(~F.isnan("glide_score"), F.col("glide_score"))
     cuts = poses.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
     range_ = F.when(score.isNull(), RANGES).otherwise(sum((F.when(score > float(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
-    rows = poses.withColumns({"__group": F.xxhash64(*groups), "__range": range_.cast("int")})
-    keys = ["__group", *groups]
-    sizes = rows.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*keys).orderBy("__range")
-    names = [f"__k{i}" for i in range(len(keys))]
-    before = sizes.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("__range").alias("__r"), (F.sum("__n").over(w) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(score.asc_nulls_last(), *(F.asc_nulls_last(c) for c in ties)))
-    ranked = rows.withColumn("__own", own)
-    on = (ranked["__range"] == before["__r"]) & (ranked["__group"] == before["__k0"])
-    for g, n in zip(groups, names[1:]):
-        on &= ranked[g].eqNullSafe(before[n])
-    out = ranked.join(before, on).withColumn("pose_rank", (F.col("__before") + F.col("__own")).cast("int"))
-    return out.drop(*names, "__r", "__before", "__own", "__range", "__group").withColumn("is_top_rank", F.col("pose_rank") == 1)
+    # nulls are filled in and marked, so that the join below has plain equal keys and meets the windows' partitioning
+    mask = sum((F.when(F.col(g).isNull(), 1 << i).otherwise(0) for i, g in enumerate(groups)), F.lit(0))
+    rows = poses.withColumns({"__group": F.xxhash64(*groups), "__range": range_.cast("int"), "__mask": mask})
+    rows = rows.withColumns({g: F.coalesce(g, F.lit("0" if rows.schema[g].dataType.typeName() != "string" else "").cast(rows.schema[g].dataType)) for g in groups})
+    keys = ["__group", "__mask", *groups, "__range"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*keys[:-1]).orderBy("__range")) - F.col("__n")
+    own = F.row_number().over(W.partitionBy(*keys).orderBy(score.asc_nulls_last(), *(F.asc_nulls_last(c) for c in ties)))
+    out = rows.withColumn("__own", own).join(sizes.withColumn("__before", before).drop("__n"), keys)
+    out = out.withColumns({"pose_rank": (F.col("__before") + F.col("__own")).cast("int"), **{g: F.when(F.col("__mask").bitwiseAND(1 << i) == 0, F.col(g)) for i, g in enumerate(groups)}})
+    return out.select(*poses.columns, *(c for c in ["pose_rank"] if c not in poses.columns)).withColumn("is_top_rank", F.col("pose_rank") == 1)
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:

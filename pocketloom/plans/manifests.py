@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pocketloom.functions.chemistry import default_canonical, ngram_bits
-from pocketloom.functions.hashing import membership_digest
+from pocketloom.functions.hashing import set_digest
 from pocketloom.functions.ids import normal_ids
 from pocketloom.functions.nulls import strict_double
 from pocketloom.operators import greedy
@@ -56,7 +56,7 @@ def conflict_edges(
     ligands: DataFrame, bits: Callable[[Column], Column] = ngram_bits, threshold: float = TANIMOTO_THRESHOLD, size: int = FINGERPRINT_BITS, cache: str | None = None
 ) -> DataFrame:
     """Edges (src, dst) between ligands (one column, ligand) of Tanimoto similarity threshold or more, kept at cache."""
-    key = {"threshold": threshold, "size": size, "bits": getattr(bits, "__name__", str(bits)), "digest": membership_digest(ligands, "ligand")}
+    key = {"threshold": threshold, "size": size, "bits": getattr(bits, "__name__", str(bits)), "digest": set_digest(ligands, "ligand")}
     prints = lambda: fingerprints(ligands.select("ligand", bits(F.col("ligand")).alias("bits")), "ligand", "bits", size)
     return cached_edges(ligands.sparkSession, cache, key, lambda: tanimoto_pairs(prints(), threshold).select("src", "dst"))
 

@@ -13,12 +13,13 @@ from pocketloom.functions.nulls import lenient_double, present, strict_double
 from pocketloom.operators.contracts import ContractError, require_columns
 
 #: Quotes are doubled within quoted fields; backslashes are plain characters, as SMILES have them.
-CSV = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true"}
+CSV = {"header": "true", "escape": '"', "quote": '"', "inferSchema": "false"}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, missing tokens as null."""
-    raw = spark.read.options(**CSV).option("inferSchema", "false").csv(str(path))
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """All columns as text, missing tokens as null. Fields may hold line breaks only if line_breaks says so, as files
+    can't be split among tasks then."""
+    raw = spark.read.options(**CSV, multiLine=str(line_breaks).lower()).csv(str(path))
     return raw.select(*(present(F.col(f"`{c}`")).alias(c) for c in raw.columns))
 
 

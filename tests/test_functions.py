@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pocketloom.functions.chemistry import ngram_bits, packed, plain_canonical, plain_canonical_or_null, sign_bits
-from pocketloom.functions.hashing import coordinate, graph_hash, membership_digest, pose_hash, text_hash
+from pocketloom.functions.hashing import coordinate, graph_hash, membership_digest, pose_hash, set_digest, text_hash
 from pocketloom.functions.ids import grid_parts, normal_ids, pdb_key, pose_id, pose_id_by_number, subset_file, subset_slug, variant_ligand
 from pocketloom.functions.nulls import clean_numbers, lenient_double, no_nan, present, strict_double, stripped, whole_number
 from pocketloom.functions.sequences import normal_sequence, truncated
@@ -90,3 +90,4 @@ def test_pose_hashes(spark):
     assert one(spark, "CC", text_hash) == hashlib.sha256(b"CC").hexdigest()[:16]
     ligands = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "ligand string")
     assert membership_digest(ligands, "ligand") == hashlib.sha256(b"a\0b\0").hexdigest()
+    assert set_digest(ligands, "ligand") == set_digest(ligands.orderBy("ligand").repartition(3), "ligand") != set_digest(ligands.where("ligand = 'a'"), "ligand")

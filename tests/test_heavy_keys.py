@@ -32,6 +32,12 @@ def test_summary_is_exact(spark, seed):
         assert got[k][:3] == w[:3] and (got[k][3] == w[3] or abs(got[k][3] - w[3]) <= 1e-9 * abs(w[3]))
 
 
+def test_infinite_values(spark):
+    inf = float("inf")
+    rows = [("a", None, v) for v in (inf, -inf, 1.0, 2.0, 3.0)] + [("b", None, inf)]
+    assert sorted((r["k"], r["median"]) for r in per_key_summary(spark.createDataFrame(rows, ROWS), "k", "i", "v").collect()) == [("a", 2.0), ("b", inf)]
+
+
 def test_no_rows_and_no_values(spark):
     assert per_key_summary(spark.createDataFrame([], ROWS), "k", "i", "v").collect() == []
     assert [tuple(r) for r in per_key_summary(spark.createDataFrame([("a", None, None)], ROWS), "k", "i", "v").collect()] == [("a", 1, 0, 0, None)]
