@@ -45,7 +45,7 @@ def find_orphans(
     Without targets every reference is an orphan.
 
     Targets are reduced to distinct keys (their earliest start, where nothing ends) before anything moves, and are
-    broadcast only if counted to be at most broadcast_rows; else both sides are shuffled by key, where a hot key of
+    broadcast only if counted to be at most broadcast_rows (0: not even counted); else both sides are shuffled by key, where a hot key of
     the referring side is split by adaptive execution, since an anti-join may split its left side.
     """
     if match not in MATCHES:
@@ -75,7 +75,7 @@ def _anti(rows: DataFrame, has: list[tuple[str, str]], targets: DataFrame, lifet
         side = side.groupBy(*names).agg(F.min("__from").alias("__from"))
     else:
         side = side.distinct()
-    if small(side, broadcast_rows):
+    if broadcast_rows > 0 and small(side, broadcast_rows):
         side = F.broadcast(side)
     on = reduce(Column.__and__, (rows[f"`{k}`"] == side[n] for (k, _), n in zip(has, names)))
     if lifetime is not None:

@@ -23,7 +23,7 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     parts.append(("affinity_split_manifest", "protein_idx", find_orphans(rows, ["key"], proteins, ["protein_idx"], lifetime=life)))
     rows = table(spark, sf, "pose_manifest").select("row_id", "recorded_at", trimmed("ligand").alias("key"))
     ligands = table(spark, sf, "affinity_manifest").select(trimmed("ligand").alias("ligand"), "recorded_at")
-    parts.append(("pose_manifest", "ligand", find_orphans(rows, ["key"], ligands, ["ligand"], lifetime=Lifetime("recorded_at", "recorded_at"))))
+    parts.append(("pose_manifest", "ligand", find_orphans(rows, ["key"], ligands, ["ligand"], lifetime=Lifetime("recorded_at", "recorded_at"), broadcast_rows=0)))
     named = [df.select(F.lit(t).alias("src_table"), F.lit(f).alias("ref_field"), "row_id", "recorded_at") for t, f, df in parts]
     return reduce(DataFrame.unionByName, named)
 
