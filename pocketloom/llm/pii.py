@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pocketloom.runtime import SPACE
+
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
 # Common given names of English, German, French and Spanish speakers.
@@ -57,7 +59,7 @@ _AFTER_GIVEN = re.compile(rf"(?:-{_CAP})?(?:{_S}{_INITIALS})?{_S}{_FAMILY}{_END}
 _AFTER_GIVEN_UPPER = re.compile(rf"(?:-{_UPPER})?(?:{_S}{_INITIALS})?{_S}{_UPPER}{_END}")
 _GIVEN_TAIL = re.compile(rf"(?:-{_CAP}|-{_UPPER})?(?:{_S}{_INITIALS})?")
 _FAMILY_BEFORE = re.compile(rf"(?<![\w-])({_CAP}(?:-{_CAP})*|{_UPPER}),\s+$")
-_INITIAL_NAME = re.compile(rf"(?<![\w.@-]){_INITIALS}\s{{0,2}}(?:{_CAP}(?:-{_CAP})*|{_UPPER}){_END}")
+_INITIAL_NAME = re.compile(rf"[A-ZÀ-ÖØ-Þ](?<![\w.@-][A-ZÀ-ÖØ-Þ])\.-?(?:[A-ZÀ-ÖØ-Þ]\.-?){{0,2}}\s{{0,2}}(?:{_CAP}(?:-{_CAP})*|{_UPPER}){_END}")
 _FAMILY_INITIAL = re.compile(rf"{_CAP}(?:-{_CAP})*,\s{_INITIALS}")
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?{_S}(?:(?:{'|'.join(TITLES)})\b\.?{_S})*")
 _ONLY_FAMILY = re.compile(rf"(?:{_FAMILY}|{_UPPER}){_END}")
@@ -88,12 +90,15 @@ _ADDRESSES = [
         rf"(?<![\w-])(?:Calle|C/|Avenida|Avda\.|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Carretera)\s*(?:(?:de|del|la|las|los|el)\s+)*[A-ZÀ-Þ][\w'’-]+(?:\s+(?:(?:de|del|la|las|los)\s+)*[A-ZÀ-Þ][\w'’-]+)*,?\s+(?:n\.?[º°]\s*)?\d+\s?[a-z]?(?:,?\s+(?:\d+\s?\.?[ºª°]|bajo|ático|piso\s+\d+)(?:\s*[A-Za-z]\b|\s+(?:izq|dcha)\.?)?)?,?\s+\d{{5}}\s+{_TOWN}"
     ),
 ]
-# Words and word ends at which an address is looked for.
+# Words and word ends at which an address of each of the four kinds is looked for.
 STREETS = (
-    "street", " st", "road", " rd", "avenue", " ave", "lane", " ln", "close", "drive", " way", "court", "place", "square", "terrace", "boulevard", "crescent", "gardens", " row", " hill",
-    " park", " walk", "mews", "straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring ", "ufer", "damm", "hof ", "markt", "rue ", "quai ", "chemin", "impasse", "allée", "cours ", "route ",
-    "passage", "calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "travesía", "carretera", "bd ",
+    ("street", " st", "road", " rd", "avenue", " ave", "lane", " ln", "close", "drive", " way", "court", " ct", "place", " pl", "square", " sq", "terrace", "boulevard", "blvd", "crescent", "gardens", " row", " hill", " park", " walk", "mews"),
+    ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "ufer", "damm", "hof", "markt"),
+    ("rue ", "avenue ", "av. ", "quai ", "boulevard ", "bd ", "place ", "chemin ", "impasse ", "allée ", "cours ", "square ", "route ", "passage "),
+    ("calle", "c/", "avenida", "avda.", "av.", "plaza", "paseo", "camino", "ronda", "travesía", "carretera"),
 )
+#: Characters before and after such a word within which its address must lie.
+REACH = (90, 140)
 
 _B = r"[\s.\-]"
 _PLANS = [
@@ -111,12 +116,16 @@ _PLANS = [
 ]
 _PHONES = [re.compile(p + r"(?![\w]|[.\-/]\d)") for p in _PLANS]
 _PHONE_START = re.compile(r"(?<![\w#.\-/+])(?=\(?\+?\d)")
-_PHONE_CUE = re.compile(rf"(?<!\w)(?:{'|'.join(c.replace(' ', _S) for c in PHONE_CUES)})(?:[\s.:]+(?:no|nr|number|numéro|número|num)\b)?\.?[\s:(]*$", re.I)
+_AFTER_CUE = re.compile(r"(?:[\s.:]+(?:no|nr|number|numéro|número|num)\b)?\.?[\s:(]*", re.I)
+_AFTER_PERSON = re.compile(r"(?:\s*[-–,:;(]\s*|\s+(?:or|oder|ou|o|at|on|am|Empfang)\b|\s+)+")
 
 _ID_LINK = re.compile(r"(?:\s*(?:no\b|nr\b|n\.?\s?[º°]|number\b|nummer\b|numéro\b|número\b)\.?)?(?:\s+(?:du|de la|de|del|des|der|of|for)(?:\s+\w+)?)?\s*\.?\s*[:#]?\s*", re.I)
 _ID_VALUE = re.compile(r"[A-Z]{0,4}\d[A-Z0-9]*(?:(?:\s|[.\-/])(?:\d[A-Z0-9]*|[A-Z](?![\w'’])))*(?![\w])|[A-Z]{1,4}(?:\s\d[A-Z0-9]*)+(?:\s[A-Z](?![\w'’]))?(?!\w)")
 
 
+_ODD_SPACES = [c for c in SPACE if c != " "]
+
+
 def _lower(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -128,7 +137,7 @@ def anchors():
 
     found: dict[str, set[str]] = {}
     for kind, cues in (
-        ("given", _GIVEN), ("id", ID_CUES), ("street", STREETS),
+        ("given", _GIVEN), ("id", ID_CUES), ("phone", PHONE_CUES), ("title", [*TITLES, "M."]), *((f"street{i}", x) for i, x in enumerate(STREETS)),
         ("at", ("@", "(at)", "[at]", "{at}", " at ", "\nat ", " at\n", " at ", " at ", " at ")),
     ):
         for c in cues:
@@ -154,7 +163,8 @@ class Finder:
         """
         if not text:
             return []
-        text = re.sub(r"\s", " ", text)  # in place: cues and cases may run over line breaks
+        for c in _ODD_SPACES if not text.isascii() else _ODD_SPACES[:9]:  # in place: cues and cases may run over line breaks
+            text = text.replace(c, " ")
         low = _lower(text)
         at: dict[str, list[tuple[int, int]]] = {}
         for end, (kinds, n) in self.automaton.iter(low):
@@ -164,16 +174,15 @@ class Finder:
         for s, e in at.get("at", ()):
             if hit := _email(text, s, e):
                 taken.add(*hit, "EMAIL")
-        if "street" in at:
-            for pattern in _ADDRESSES:
-                for m in pattern.finditer(text):
-                    taken.add(m.start(), m.end(), "ADDRESS")
+        for i, pattern in enumerate(_ADDRESSES):
+            for s, e in _addresses(text, pattern, at.get(f"street{i}", ())):
+                taken.add(s, e, "ADDRESS")
         for s, e in at.get("id", ()):
             if hit := _id_number(text, s, e):
                 taken.add(*hit, "ID_NUMBER")
-        names = _names(text, at.get("given", ()))
+        names = _names(text, at.get("given", ()), at.get("title", ()))
         people = [*((s, e) for s, e in names), *((s, e) for s, e, kind in taken.spans if kind == "EMAIL")]
-        for s, e in _phones(text, people):
+        for s, e in _phones(text, at.get("phone", ()), people):
             taken.add(s, e, "PHONE")
         for s, e in names:
             taken.add(s, e, "NAME")
@@ -235,26 +244,44 @@ def _id_number(text: str, s: int, e: int) -> tuple[int, int] | None:
     return None
 
 
-def _phones(text: str, people: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    ends, last = {e for _, e in people}, 0
-    for m in _PHONE_START.finditer(text):
-        s = m.start()
-        if s < last:
+def _alone(text: str, s: int, e: int) -> bool:
+    """Whether a cue stands by itself rather than within a word."""
+    return not (s and text[s - 1].isalnum()) and not text[e : e + 1].isalnum()
+
+
+def _addresses(text: str, pattern: re.Pattern, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    done = 0
+    for s, e in cues:
+        lo, hi = max(done, s - REACH[0]), e + REACH[1]
+        if e <= done:
             continue
-        best = max((p.end() for p in (x.match(text, s) for x in _PHONES) if p and 7 <= sum(c.isdigit() for c in p[0]) <= 15), default=0)
-        if not best:
+        for m in pattern.finditer(text, lo, hi):
+            whole = pattern.match(text, m.start()) if m.end() == hi else m
+            if whole:
+                yield whole.span()
+                done = max(done, whole.end())
+
+
+def _phones(text: str, cues: list[tuple[int, int]], people: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    starts = set()
+    for m in (*(_AFTER_CUE.match(text, e) for s, e in cues if _alone(text, s, e)), *(_AFTER_PERSON.match(text, e) for _, e in people)):
+        if m:
+            starts |= {m.end(), m.end() - 1} if text[m.end() - 1] == "(" and m[0] else {m.end()}
+    at = text.find("+")
+    while at >= 0:
+        starts |= {at, at - 1} if at and text[at - 1] == "(" else {at}
+        at = text.find("+", at + 1)
+    last = 0
+    for s in sorted(starts):
+        if s < last or not _PHONE_START.match(text, s):
             continue
-        before = text[max(0, s - 40) : s]
-        sure = text[s : s + 2] == "(+" or text[s] == "+" or bool(_PHONE_CUE.search(before))
-        if not sure:  # right after a person's name or address: "Name - 555", "Name (555", "address or 555"
-            gap = re.search(r"(?:\s*[-–,:;(]\s*|\s+(?:or|oder|ou|o|at|on|am|Empfang|\()+\s*|\s*\n\s*)+$", before)
-            sure = bool(gap) and (s - len(gap[0])) in ends
-        if sure:
+        best = max((p.end() for p in (x.match(text, s) for x in _PHONES) if p and 7 <= sum(c.isdigit() for c in p[0]) <= 15), default=0)
+        if best:
             last = best
             yield s, best
 
 
-def _names(text: str, given: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _names(text: str, given: list[tuple[int, int]], titles: list[tuple[int, int]]) -> list[tuple[int, int]]:
     taken = _Taken(len(text))
 
     def add(s: int, e: int) -> None:
@@ -282,12 +309,12 @@ def _names(text: str, given: list[tuple[int, int]]) -> list[tuple[int, int]]:
         m = (_AFTER_GIVEN_UPPER if upper else _AFTER_GIVEN).match(text, e)
         if m and m[0].split()[-1].lower() not in _NO_FAMILY:
             add(s, m.end())
-    for m in _TITLED.finditer(text):
+    for m in filter(None, (_TITLED.match(text, s) for s, _ in titles)):
         if n := (_INITIAL_NAME.match(text, m.end()) or _ONLY_FAMILY.match(text, m.end())):
             if n[0].lower() not in _NO_FAMILY:
                 first = n[0].lower() in _GIVEN and re.compile(rf"{_S}{_FAMILY}{_END}").match(text, n.end())
                 add(n.start(), first.end() if first else n.end())
-    for m in _MONSIEUR.finditer(text):
+    for m in filter(None, (_MONSIEUR.match(text, s) for s, _ in titles)):
         add(*m.span(1))
     for m in _INITIAL_NAME.finditer(text):
         s, e = m.span()
