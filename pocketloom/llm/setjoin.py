@@ -64,8 +64,8 @@ def token_frequencies(texts: DataFrame, column: str, q: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for text in batch[column]:
-                np.add.at(total, (_mix(substrings(text, q)) % np.uint64(SLOTS)).astype(np.int64), 1)
+            tokens = np.concatenate([np.empty(0, np.uint64), *(substrings(text, q) for text in batch[column])])
+            total += np.bincount((_mix(tokens) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         (slot,) = total.nonzero()
         yield pd.DataFrame({"slot": slot, "n": total[slot]})
 
