@@ -12,7 +12,8 @@ SLICES = 64
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows by key, null keys left out: counted in each task first, so a hot key moves one row a task."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    keys = df.select(F.col(key).alias("__k")).where(F.col("__k").isNotNull())
+    return keys.groupBy("__k").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("__k", key)
 
 
 def heavy_keys(df: DataFrame, key: str, percent: int = 2) -> DataFrame:
@@ -20,9 +21,9 @@ def heavy_keys(df: DataFrame, key: str, percent: int = 2) -> DataFrame:
 
     Ties and repeated rows count as they stand; an empty table has no heavy key. At most 100 / percent keys come out.
     """
-    counts = key_counts(df, key)
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    return counts.where(F.col("rows") * 100 >= F.lit(percent * total))
+    counts = key_counts(df, key).toDF("__k", "__rows")
+    total = counts.agg(F.sum("__rows")).first()[0] or 0
+    return counts.where(F.col("__rows") * 100 >= F.lit(percent * total)).toDF(key, "rows")
 
 
 def per_key_summary(df: DataFrame, key: str, item: str, value: str) -> DataFrame:

@@ -32,6 +32,12 @@ def test_summary_is_exact(spark, seed):
         assert got[k][:3] == w[:3] and (got[k][3] == w[3] or abs(got[k][3] - w[3]) <= 1e-9 * abs(w[3]))
 
 
+def test_other_columns_may_be_called_anything(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 9)] * 3, "rows string, items int, median double, n int")
+    assert [tuple(r) for r in heavy_keys(df, "rows").collect()] == [("a", 3)]
+    assert [tuple(r) for r in per_key_summary(df.withColumnRenamed("rows", "slice"), "slice", "items", "median").collect()] == [("a", 3, 1, 3, 2.0)]
+
+
 def test_infinite_values(spark):
     inf = float("inf")
     rows = [("a", None, v) for v in (inf, -inf, 1.0, 2.0, 3.0)] + [("b", None, inf)]
