@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pocketloom.functions.nulls import strict_double
 from pocketloom.functions.sequences import RESIDUES, normal_sequence, truncated
 from pocketloom.operators.contracts import assert_sequences
+from pocketloom.schemas import SEQUENCE
 from pocketloom.sources.tables import read_csv_checked
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """(protein_idx, sequence) in order of index: whole numbers 0 .. rows - 1, each once, sequences not blank."""
-    raw = read_csv_checked(spark, path, ["protein_idx", "sequence"])
+    raw = read_csv_checked(spark, path, SEQUENCE.fieldNames())
     rows = raw.select(strict_double(F.col("protein_idx"), "protein_idx").alias("protein_idx"), "sequence")
     return assert_sequences(rows).select(F.col("protein_idx").cast("int"), "sequence").orderBy("protein_idx")
 

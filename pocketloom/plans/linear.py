@@ -13,12 +13,11 @@ from pocketloom.operators.lookups import join_many_to_one
 from pocketloom.operators.metrics import fitted_line, metrics_by, with_prediction
 from pocketloom.operators.ranking import minimum_scores
 from pocketloom.runtime import materialize
+from pocketloom.schemas import LINEAR_OUTPUT
 from pocketloom.sources.experiments import LINEAR, Section, data_section, load
 from pocketloom.sources.runs import keep_config, make_run_folder, write_json, write_split_outputs
 from pocketloom.sources.tables import read_csv
 
-OUTPUT = ("uniprot_id", "ligand", "split", "min_glide_score", "true_affinity", "predicted_affinity")
-
 
 def lowest_scores(poses: DataFrame) -> DataFrame:
     require_columns(poses, ["uniprot_id", "ligand", "glide_score"], "the pose table")
@@ -71,7 +70,7 @@ def evaluate(
     if not sizes.get("train"):
         raise ContractError("no train examples are left after filtering")
     rows, slope, intercept = predictions(joined)
-    rows = rows.select(*OUTPUT)
+    rows = rows.select(*LINEAR_OUTPUT.fieldNames())
     by = {r["split"]: {"num_examples": r["num_examples"], "pearson_r": r["pearson_r"]} for r in metrics_by(rows, ["split"]).collect()}
     ordered = {s: {"pearson_r": v["pearson_r"], "num_examples": v["num_examples"], "slope": slope, "intercept": intercept} for s, v in by.items()}
     texts = {s: {k: v[k] for k in ("num_examples", "pearson_r", "slope", "intercept")} for s, v in ordered.items()}

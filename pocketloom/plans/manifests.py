@@ -17,7 +17,7 @@ from pocketloom.operators.contracts import ContractError, assert_coverage, asser
 from pocketloom.operators.lookups import index_from_dictionary, join_many_to_one, unmatched, with_protein_index
 from pocketloom.operators.similarity import cached_edges, fingerprints, tanimoto_pairs
 from pocketloom.runtime import materialize
-from pocketloom.schemas import ACTIVE_SPLITS, COVERAGE_FLOOR, FINGERPRINT_BITS, FRACTIONS, RAW_BINDING, RESTARTS, SEED, TANIMOTO_THRESHOLD
+from pocketloom.schemas import ACTIVE_SPLITS, AFFINITY_SPLIT, COVERAGE_FLOOR, FINGERPRINT_BITS, FRACTIONS, RAW_BINDING, RESTARTS, SEED, TANIMOTO_THRESHOLD
 
 
 def annotated(binding: DataFrame, canonical: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -93,5 +93,5 @@ def affinity_split_table(affinity: DataFrame, split: DataFrame, proteins: DataFr
     if wanted:
         rows = rows.where(F.col("uniprot_id").cast("string").isin(*wanted))
     joined = with_protein_index(join_many_to_one(rows, active, ["ligand"], name="the split table"), proteins)
-    out = joined.select("uniprot_id", "protein_idx", "ligand", "ligand_idx", "affinity", "split")
+    out = joined.select(*AFFINITY_SPLIT.fieldNames())
     return assert_unique(out, ["uniprot_id", "ligand"], "the affinity-split table").orderBy("split", "protein_idx", "ligand_idx")

@@ -3,6 +3,8 @@ rated ligands, embeddings the fingerprints (signs) and the descriptor matrix (by
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -474,6 +476,6 @@ def job_commands(spark, sf):
 def csv_round_trip(spark, sf):
     """Through CSV and back, ends with surrounding white space and backslashes included."""
     rows = table(spark, sf, "ligand_match").select("match_id", "ligand_a", "ligand_b", "score")
-    path = write_csv(rows, f"{scratch_dir(spark)}/csv_round_trip")
+    path = write_csv(rows, f"{scratch_dir(spark)}/pocketloom/csv-{uuid.uuid4().hex}")
     back = typed(read_csv_checked(spark, path, rows.columns), rows.schema)
     return back.withColumn("score", F.round("score", 6))

@@ -90,11 +90,3 @@ def trimmed(column: Column | str) -> Column:
 def accession(column: Column | str) -> Column:
     """The form in which uniprot_id is compared: trimmed, upper case, blank as null."""
     return F.upper(trimmed(column))
-
-
-def free_name(taken: list[str], wish: str) -> str:
-    """wish, or wish with underscores before it, so that it clashes with no column."""
-    low = {x.lower() for x in taken}
-    while wish.lower() in low:
-        wish = "_" + wish
-    return wish

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from conftest import rows
 from pocketloom.operators.contracts import ContractError
 from pocketloom.operators.embeddings import mean_pooled, standard_moments, standardized, with_descriptors
+from pocketloom.operators.metrics import metrics_by, with_errors
 from pocketloom.plans import affinity_model, docking, linear
 from pocketloom.plans.embedding import embedded, read_sequences
 from pocketloom.plans.poses import pose_rows
@@ -168,6 +169,19 @@ def test_usable_rows(spark):
         affinity_model.valid_ligands(got.withColumn("ligand", got.split.substr(9, 9)), drop_invalid=False)
 
 
+def test_recorded_predictions_give_their_metrics(spark, tmp_path):
+    lines = ["uniprot_id,protein_idx,ligand,ligand_idx,split,true_affinity,predicted_affinity,abs_error,squared_error"]
+    pairs = [(5.0, 5.5), (6.0, 5.0), (7.5, 7.0)]
+    lines += [f'P1,0,"C\\C=""{i}",{i},test,{t},{p},{abs(p - t)},{(p - t) ** 2}' for i, (t, p) in enumerate(pairs)]
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    rows_ = affinity_model.recorded_predictions(spark, str(tmp_path / "r.csv"))
+    got = metrics_by(rows_, ["split"]).first()
+    t, p = np.array(pairs).T
+    assert got["pearson_r"] == pytest.approx(np.corrcoef(t, p)[0, 1], abs=1e-12) and got["rmse"] == pytest.approx(np.sqrt(((p - t) ** 2).mean()), abs=1e-12) and got["mae"] == pytest.approx(np.abs(p - t).mean(), abs=1e-12)
+    again = with_errors(rows_.drop("abs_error", "squared_error"))
+    assert rows(again.select(*rows_.columns)) == rows(rows_) and rows_.first()["ligand"].startswith("C\\C=")
+
+
 AFFINITY_CSV = "uniprot_id,ligand,affinity,split\nP11111,CCO,6.0,train\nP22222,CCC,7.0,train\nP22222,CCN,8.0,val\nP11111,CCO,6.5,test\nP11111,CXX,6.5,test\n"
 POSE_CSV = "uniprot_id,ligand,glide_score\nP11111,CCO,-5\nP11111,CCO,-4\nP22222,CCC,-6\nP22222,CCN,-7\nP22222,CCN,bad\n"
 
@@ -226,7 +240,7 @@ def test_run_folders_and_plots(tmp_path):
     assert math.isnan(float("nan"))
 
 
-def test_docking_tables(spark):
+def test_docking_tables(spark, tmp_path):
     binding = spark.createDataFrame([(" CC", "P1"), ("CO", "P2")], "smiles string, uniprot_id string")
     labels = docking.labelled(binding)
     assert rows(docking.of_protein(labels, "P1")) == [("CC", "CC")]
@@ -237,6 +251,8 @@ def test_docking_tables(spark):
     assert rows(docking.docking_jobs(jobs, "g.zip", "fast"))[0] == ("glide_dock", "g.zip", "/x/batch_0.maegz", 1)
     with pytest.raises(ContractError):
         docking.docking_jobs(jobs, "g.zip", "slow")
+    docking.write_batches(batched, str(tmp_path / "batches"))
+    assert sorted(p.name for p in (tmp_path / "batches").glob("batch_id=*")) == ["batch_id=0", "batch_id=1", "batch_id=2"]
     files = spark.createDataFrame([("b_raw.maegz",), ("b_pv.maegz",), ("a_raw.maegz",), ("c.maegz",)], "file string")
     assert rows(docking.conversion_sources(files)) == [("a", "a_raw.maegz", "a.sdf"), ("b", "b_pv.maegz", "b.sdf")]
     table = spark.createDataFrame([("run", 1), ("run", 2)], "command string, n int")
