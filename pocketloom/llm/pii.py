@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 
 from pocketloom.runtime import SPACE
 
-TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-
 # Common given names of English, German, French and Spanish speakers.
 GIVEN = """
 Adam Agnes Alan Alice Amara Amelia Andrew Anna Arthur Ben Carol Charlotte Chloe Daniel David Dennis Diane Edward Ella
@@ -60,7 +58,6 @@ _AFTER_GIVEN_UPPER = re.compile(rf"(?:-{_UPPER})?(?:{_S}{_INITIALS})?{_S}{_UPPER
 _GIVEN_TAIL = re.compile(rf"(?:-{_CAP}|-{_UPPER})?(?:{_S}{_INITIALS})?")
 _FAMILY_BEFORE = re.compile(rf"(?<![\w-])({_CAP}(?:-{_CAP})*|{_UPPER}),\s+$")
 _INITIAL_NAME = re.compile(rf"[A-ZÀ-ÖØ-Þ](?<![\w.@-][A-ZÀ-ÖØ-Þ])\.-?(?:[A-ZÀ-ÖØ-Þ]\.-?){{0,2}}\s{{0,2}}(?:{_CAP}(?:-{_CAP})*|{_UPPER}){_END}")
-_FAMILY_INITIAL = re.compile(rf"{_CAP}(?:-{_CAP})*,\s{_INITIALS}")
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?{_S}(?:(?:{'|'.join(TITLES)})\b\.?{_S})*")
 _ONLY_FAMILY = re.compile(rf"(?:{_FAMILY}|{_UPPER}){_END}")
 _MONSIEUR = re.compile(rf"(?<!\w)M\.{_S}({_FAMILY}|{_UPPER}){_END}(?=\s+(?:répond|est|a|sera|arrive|attend|signe)\b)")
