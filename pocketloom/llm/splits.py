@@ -13,6 +13,10 @@ from pocketloom.runtime import materialize
 FRACTIONS = {"train": 0.97, "val": 0.015, "test": 0.015}
 #: Slices by hash over which a running total is taken, so that no task orders a whole group.
 SLICES = 256
+#: A group of more than one part in so many of what the least split is to have is dealt by itself.
+PARTS = 50
+#: The golden ratio's fraction: multiples of it spread evenly over a period.
+TURN = 0.6180339887498949
 
 
 def related_groups(records: DataFrame, keys: list[str], links: DataFrame | None = None, seed: int = 7) -> DataFrame:
@@ -65,10 +69,13 @@ def assign_splits(grouped: DataFrame, stratum: str, fractions: dict[str, float]
 
     A group belongs to the stratum of most of its records (least value on a tie; null is a stratum too). Within its
     stratum, groups follow each other in hash order, and each takes the stretch of the running total that its records
-    fill. The total, over all strata, is marked off in periods in which each small split has room for one group of mean
-    size; the middle of its stretch decides a group's split. A group heavier than a fifth of what a small split is to
-    have at all goes to the largest split, as it would upset the smaller ones. Records without a group are not assigned. An empty
-    table gives no rows. Ties in hash order go by the group's name, so the result depends on nothing but the data and seed.
+    fill. What small splits are to have is reckoned from all records. A group heavier than that, for every small split,
+    goes to the largest split. The other groups of more than one part in PARTS of it, at most PARTS / least share in
+    number, are dealt in order on the driver, each small split getting its share of them as far as they fit. What is
+    then left to fill comes from the light groups: their running total is marked off in whole periods in which the
+    small split with the most to fill has room for a group of mean size; the middle of its stretch decides a group's
+    split. Records without a group are not assigned. An empty table gives no rows. Ties in hash order go by the group's
+    name, so the result depends on nothing but the data and seed.
 
     The running total is taken in four steps, over slices by hash, strata, slices of strata and last within one slice
     of one stratum; none of them brings a large part of the data together.
@@ -85,22 +92,53 @@ def assign_splits(grouped: DataFrame, stratum: str, fractions: dict[str, float]
     groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("weight")).first()
     if not groups or not small_splits:
         return sizes.select("group", F.lit(largest).alias("split"))
-    least = min(fractions[s] for s in small_splits) / total_share
-    heavy = max(least * rows / 5, 1.0)
-    light = sizes.where(F.col("weight") <= heavy)
-    mean = light.agg(F.avg("weight")).first()[0]
+    target = {s: round(fractions[s] / total_share * rows, 6) for s in small_splits}
+    light_most, most = max(min(target.values()) / PARTS, 1.0), max(target.values())
+    light = sizes.where(F.col("weight") <= light_most)
+    mean, light_rows = light.agg(F.avg("weight"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    heavy = sizes.where(F.col("weight") > light_most)
+    dealt = [(r["group"], r["weight"]) for r in heavy.where(F.col("weight") <= most).orderBy("row", "stratum", "place", "group").collect()]
+    split_of, left = _deal(dealt, target, light_rows)
+    kind = sizes.schema["group"].dataType.simpleString()
+    named = sizes.sparkSession.createDataFrame([(g, split_of.get(g, largest)) for g, _ in dealt], f"group {kind}, split string")
+    heavies = heavy.where(F.col("weight") > most).select("group", F.lit(largest).alias("split")).unionByName(named)
     if mean is None:
-        return sizes.select("group", F.lit(largest).alias("split"))
-    position = _running(light)
-    period = mean / least
-    phase = (F.col("before") + F.col("weight") / 2) / period
-    phase = (phase - F.floor(phase)) * total_share
+        return heavies
+    periods = max(1, int(max(left.values()) / mean))
+    at = (F.col("before") + F.col("weight") / 2) * (periods / light_rows)
+    phase = at + F.floor(at) * TURN  # turned each period, lest groups of one size always meet the same phases
+    phase = phase - F.floor(phase)
+    room = max(light_rows, sum(left.values()))
     split, upto = F.lit(largest), 0.0
     for s in small_splits:
-        split = F.when((phase >= upto) & (phase < upto + fractions[s]), F.lit(s)).otherwise(split)
-        upto += fractions[s]
-    heavies = sizes.where(F.col("weight") > heavy).select("group", F.lit(largest).alias("split"))
-    return position.select("group", split.alias("split")).unionByName(heavies)
+        split = F.when((phase >= upto) & (phase < upto + left[s] / room), F.lit(s)).otherwise(split)
+        upto += left[s] / room
+    return _running(light).select("group", split.alias("split")).unionByName(heavies)
+
+
+def _deal(groups: list[tuple[str, int]], target: dict[str, float], light_rows: int) -> tuple[dict[str, str], dict[str, float]]:
+    """The small splits of those groups (name, weight) that go to one, and what each small split has left to fill.
+
+    In order, a split gets a group that fits once half of it is due by the weight so far. If light groups can't fill
+    the rest, further groups that fit follow, heaviest first.
+    """
+    left, split_of = dict(target), {}
+    total, seen = sum(w for _, w in groups) + light_rows, 0
+    for g, w in groups:
+        seen += w
+        due = {s: left[s] - target[s] * (1 - seen / total) for s in target if w <= left[s]}
+        s = max(due, key=due.get, default=None)
+        if s is not None and due[s] >= w / 2:
+            split_of[g] = s
+            left[s] -= w
+    for g, w in sorted((x for x in groups if x[0] not in split_of), key=lambda x: -x[1]):
+        if sum(left.values()) <= light_rows:
+            break
+        s = max(left, key=left.get)
+        if w <= left[s]:
+            split_of[g] = s
+            left[s] -= w
+    return split_of, left
 
 
 def _running(sizes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from pocketloom.llm.splits import assign_splits, conflicting_groups, related_groups
+from pocketloom.llm.splits import FRACTIONS, assign_splits, conflicting_groups, related_groups
 
 RECORDS = "row_id long, ligand string, author string, uniprot_id string"
 
@@ -44,6 +44,33 @@ def test_shares_hold_overall_and_by_stratum_and_groups_stay_whole(spark):
         assert abs(by[s]["val"] / n - 0.05) < 0.03
 
 
+def _shares(spark, weights, fractions=FRACTIONS):
+    grouped = spark.createDataFrame([(f"g{i}", i % 5, w) for i, w in enumerate(weights)], "group string, s int, w int").selectExpr("group", "s", "explode(sequence(1, w))")
+    split = {r["group"]: r["split"] for r in assign_splits(grouped, "s", fractions).collect()}
+    assert len(split) == len(weights)
+    count = Counter()
+    for i, w in enumerate(weights):
+        count[split[f"g{i}"]] += w / sum(weights)
+    return count
+
+
+def test_small_splits_are_filled_whatever_the_weights(spark):
+    """A giant of a third; only heavy groups; a giant, heavy groups and few light ones; a long tail; equal groups and unequal shares."""
+    rng = random.Random(3)
+    cases = [
+        ([10_000] + [1] * 20_000, FRACTIONS),
+        ([100] * 200, FRACTIONS),
+        ([19_000] + [290] * 2 + [1] * 420, FRACTIONS),
+        ([rng.choice([60, 90, 150]) for _ in range(300)] + [1] * 3000, FRACTIONS),
+        ([max(1, 4000 // k) for k in range(1, 6000)], FRACTIONS),
+        ([2] * 10_000, {"train": 0.88, "val": 0.07, "test": 0.05}),
+    ]
+    for weights, fractions in cases:
+        got = _shares(spark, weights, fractions)
+        for s in ("val", "test"):
+            assert abs(got[s] / fractions[s] - 1) < 0.07, (len(weights), got)
+
+
 def test_empty_and_keyless(spark):
     empty = related_groups(spark.createDataFrame([], RECORDS), ["ligand", "author"])
     assert assign_splits(empty, "uniprot_id").collect() == []
