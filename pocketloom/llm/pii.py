@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pocketloom.llm.given_names import GIVEN_NAMES
 from pocketloom.runtime import SPACE
 
-# Common given names of English, German, French and Spanish speakers.
+# Further given names of English, German, French and Spanish speakers.
 GIVEN = """
 Adam Agnes Alan Alice Amara Amelia Andrew Anna Arthur Ben Carol Charlotte Chloe Daniel David Dennis Diane Edward Ella
 Emily Emma Eric Eva Felix Fiona Frank George Grace Hannah Harry Helen Henry Hugo Ian Isabel Jack James Jane Jennifer
@@ -30,6 +31,28 @@ NAME_CUES = (
     "für", "par", "de", "recibió", "gezeichnet", "lieferanschrift:", "firmado", "firmado:", "signé", "signé:", "atentamente,", "cordialement,",
     "grüße,", "saludos,", "merci,", "gracias,", "danke,", "from", "with", "von", "und", "and", "et", "y", "que", "nom",
 )
+# What stands before the full name of a person, whatever the given name.
+PERSON_CUES = (
+    "signed by", "written by", "sent by", "collected by", "handed over by", "reviewed by", "signed:", "contact", "contact:", "volunteer:", "donor:", "patient:", "participant:", "regards", "sincerely",
+    "thanks", "cheers", "unterschrieben von", "unterzeichnet von", "gezeichnet", "gezeichnet von", "ansprechpartner", "ansprechpartnerin", "ansprechpartner:", "grüße", "grüßen", "gruß",
+    "lieferanschrift:", "ausgestellt für", "signé par", "signé", "signé:", "contactez", "contacter", "cordialement", "salutations", "merci", "firmado por", "firmado", "firmado:", "contacto", "contacto:",
+    "contacte con", "contactar con", "atentamente", "saludos", "gracias", "a nombre de", "au nom de",
+)
+# Words that show that what stands there is a firm, a place, a part of a house or a chain of residues, and no person.
+NO_PERSON = set("""
+the a an our your this that these those all any no new my his her their its we it to for in on at by from with and or if when please see dear
+der die das den dem des ein eine unser unsere ihre im am zum zur le la les un une notre votre nos el los las una nuestro nuestra su
+reagents reagent sons brothers bros ltd limited inc llc llp plc corp corporation co company gmbh ag kg ohg ug sa sas sarl sl srl bv nv ab oy group groupe gruppe grupo holding
+labs lab laboratory laboratories laboratoire laboratoires labor laboratorio laboratorios institute institut instituto university université universität universidad
+college school faculty hospital clinic klinik klinikum hôpital clínica centre center zentrum centro department dept abteilung département departamento division unit
+office büro bureau oficina desk team service services support customer sales orders order help helpdesk reception security human resources logistics accounts billing
+shipping supplies supply supplier instruments instrument scientific science sciences systems technologies technology biotech biotechnology pharma pharmaceuticals
+chemicals chemical chemie chimie química diagnostics biologics bio therapeutics analytics solutions software international global partners associates foundation trust
+society committee board council ministry agency bank press journal street road avenue lane square building hall room wing floor house site plant store stores
+glass glassware plastics optics imaging medical health care data core facility management quality control safety project program programme protein kinase receptor
+ala arg asn asp cys gln glu gly his ile leu lys met phe pro ser thr trp tyr val chain loop helix sheet
+monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
+""".split())
 # What a person does, after initials and a family name.
 NAME_VERBS = ("signed", "wrote", "said", "agreed", "will", "moved", "called", "asked", "has", "is", "was", "hat", "ist", "schrieb", "répond", "est", "a", "atiende", "firmó", "escribió")
 # What stands before the number of a document or person.
@@ -45,11 +68,13 @@ PHONE_CUES = (
     "unter", "anrufen", "appeler le", "appeler au", "répond au", "joindre au", "llamar al", "atiende en el", "on call", "handy",
 )
 
-_GIVEN = {g.lower() for g in GIVEN}
-_CAP = r"(?:(?:O|D)['’])?(?:Mc|Mac)?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+"
+_GIVEN = {g.lower() for g in [*GIVEN_NAMES, *GIVEN]}
+_LETTERS = [chr(c) for c in (*range(0x41, 0x530), *range(0x1E00, 0x2000)) if chr(c).isalpha()]
+_LU, _LL = "".join(c for c in _LETTERS if c.isupper()), "".join(c for c in _LETTERS if c.islower())
+_CAP = rf"(?:(?:O|D)['’])?(?:Mc|Mac)?[{_LU}][{_LL}]+"
 _FAMILY = rf"(?:(?:von|van|de|del|di|da|du|la|le|zu)\s){{0,2}}{_CAP}(?:-{_CAP})*"
-_UPPER = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})*"
-_INITIALS = r"(?:[A-ZÀ-ÖØ-Þ]\.-?){1,3}"
+_UPPER = rf"[{_LU}]{{2,}}(?:-[{_LU}]{{2,}})*"
+_INITIALS = rf"(?:[{_LU}]\.-?){{1,3}}"
 _S = r"\s+"
 _END = r"(?![\w-]|['’]\w)"
 
@@ -57,12 +82,13 @@ _AFTER_GIVEN = re.compile(rf"(?:-{_CAP})?(?:{_S}{_INITIALS})?{_S}{_FAMILY}{_END}
 _AFTER_GIVEN_UPPER = re.compile(rf"(?:-{_UPPER})?(?:{_S}{_INITIALS})?{_S}{_UPPER}{_END}")
 _GIVEN_TAIL = re.compile(rf"(?:-{_CAP}|-{_UPPER})?(?:{_S}{_INITIALS})?")
 _FAMILY_BEFORE = re.compile(rf"(?<![\w-])({_CAP}(?:-{_CAP})*|{_UPPER}),\s+$")
-_INITIAL_NAME = re.compile(rf"[A-ZÀ-ÖØ-Þ](?<![\w.@-][A-ZÀ-ÖØ-Þ])\.-?(?:[A-ZÀ-ÖØ-Þ]\.-?){{0,2}}\s{{0,2}}(?:{_CAP}(?:-{_CAP})*|{_UPPER}){_END}")
+_INITIAL_NAME = re.compile(rf"[{_LU}](?<![\w.@-][{_LU}])\.-?(?:[{_LU}]\.-?){{0,2}}\s{{0,2}}(?:{_CAP}(?:-{_CAP})*|{_UPPER}){_END}")
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?{_S}(?:(?:{'|'.join(TITLES)})\b\.?{_S})*")
 _ONLY_FAMILY = re.compile(rf"(?:{_FAMILY}|{_UPPER}){_END}")
 _MONSIEUR = re.compile(rf"(?<!\w)M\.{_S}({_FAMILY}|{_UPPER}){_END}(?=\s+(?:répond|est|a|sera|arrive|attend|signe)\b)")
 _CUE_BEFORE = re.compile(rf"(?:^|[\s(:.])(?:{'|'.join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True)))})\s+$", re.I)
 _VERB_AFTER = re.compile(rf"\s+(?:{'|'.join(NAME_VERBS)})\b")
+_AFTER_CUED = re.compile(rf"\s*[:,]?\s*(?:-\s+)?({_CAP}(?:-{_CAP})*(?:{_S}{_INITIALS})?{_S}(?:{_FAMILY}|{_UPPER})){_END}(?!{_S}(?:&|und|and|et|y){_S}(?:Co|Sons|Söhne|Fils|Hijos)\b)(?:{_S}(\w+))?")
 _NO_FAMILY = {"the", "a", "an", "for", "in", "on", "our", "we", "it", "after", "two", "plates", "flat", "apt", "tel", "der", "die", "das", "le", "la", "les", "el", "los"}
 
 _LOCAL = re.compile(r"[\w][\w.+%-]*$")
@@ -134,7 +160,7 @@ def anchors():
 
     found: dict[str, set[str]] = {}
     for kind, cues in (
-        ("given", _GIVEN), ("id", ID_CUES), ("phone", PHONE_CUES), ("title", [*TITLES, "M."]), *((f"street{i}", x) for i, x in enumerate(STREETS)),
+        ("given", _GIVEN), ("id", ID_CUES), ("phone", PHONE_CUES), ("title", [*TITLES, "M."]), ("person", PERSON_CUES), *((f"street{i}", x) for i, x in enumerate(STREETS)),
         ("at", ("@", "(at)", "[at]", "{at}", " at ", "\nat ", " at\n", " at ", " at ", " at ")),
     ):
         for c in cues:
@@ -177,7 +203,7 @@ class Finder:
         for s, e in at.get("id", ()):
             if hit := _id_number(text, s, e):
                 taken.add(*hit, "ID_NUMBER")
-        names = _names(text, at.get("given", ()), at.get("title", ()))
+        names = _names(text, at.get("given", ()), at.get("title", ()), at.get("person", ()))
         people = [*((s, e) for s, e in names), *((s, e) for s, e, kind in taken.spans if kind == "EMAIL")]
         for s, e in _phones(text, at.get("phone", ()), people):
             taken.add(s, e, "PHONE")
@@ -278,7 +304,7 @@ def _phones(text: str, cues: list[tuple[int, int]], people: list[tuple[int, int]
             yield s, best
 
 
-def _names(text: str, given: list[tuple[int, int]], titles: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _names(text: str, given: list[tuple[int, int]], titles: list[tuple[int, int]], cues: list[tuple[int, int]]) -> list[tuple[int, int]]:
     taken = _Taken(len(text))
 
     def add(s: int, e: int) -> None:
@@ -322,6 +348,9 @@ def _names(text: str, given: list[tuple[int, int]], titles: list[tuple[int, int]
         listed = bool(comma) and s - len(comma[0]) > 0 and taken.marks[s - len(comma[0]) - 1]
         if _CUE_BEFORE.search(before) or listed or _VERB_AFTER.match(text, e):
             add(s, e)
+    for m in (_AFTER_CUED.match(text, e) for s, e in cues if _alone(text, s, e)):
+        if m and not NO_PERSON & {*(w.lower() for w in re.split(r"[\s-]+", m[1]) if w[:1].isupper()), (m[2] or "").lower() if (m[2] or "")[:1].isupper() else ""}:
+            add(*m.span(1))
     return sorted((s, e) for s, e, _ in taken.spans)
 
 

@@ -30,6 +30,32 @@ def test_found(text, want):
     assert Finder().found(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Signed by Andreas Schmidt.", {("NAME", "Andreas Schmidt")}),
+    ("Please contact Jean Dupont, 555-0112, or Antonio Pérez.", {("NAME", "Jean Dupont"), ("PHONE", "555-0112"), ("NAME", "Antonio Pérez")}),
+    ("It was Christian Weber and María García.", {("NAME", "Christian Weber"), ("NAME", "María García")}),
+    ("Ask Łukasz Wiśniewski.", {("NAME", "Łukasz Wiśniewski")}),
+    ("Best regards,\nOttokar Brandström", {("NAME", "Ottokar Brandström")}),
+    ("Gezeichnet: Wunibald Ğökçe. Contact Brimwell Reagents. Contact Customer Service. Signed by Orvgren & Sons; contact Tyr Gly.", {("NAME", "Wunibald Ğökçe")}),
+])
+def test_names_that_stand_in_no_small_list(text, want):
+    assert Finder().found(text) == want
+
+
+#: Given names that are in no list of the package.
+HELD_OUT = "Ottokar Wunibald Hyacinthe Philomène Eudald Sisebuto Ethelred Thurstan Merewen Tancrède Ermelinda Kunigunde Zdravko Bolormaa Nkechi Tjark Gwilym Aoife Rhiannon Xoán".split()
+
+
+def test_recall_on_names_held_out():
+    from pocketloom.llm.pii import _GIVEN
+
+    assert not _GIVEN & {g.lower() for g in HELD_OUT}
+    cues = ("signed by {}.", "Please contact {} soon.", "Regards,\n{}", "Unterschrieben von {}.", "Cordialement,\n{}", "Firmado por {}.")
+    finder = Finder()
+    assert all(finder.found(c.format(f"{g} Tolvand")) == {("NAME", f"{g} Tolvand")} for g in HELD_OUT for c in cues)
+    assert not any(finder.found(f"Later {g} Tolvand went home.") for g in HELD_OUT)  # the limit README states
+
+
 def test_redaction_keeps_the_rest():
     text = "Thanks,\nAlice\nTolvand  -  tel 555-0128.\n"
     assert Finder().redacted(text) == "Thanks,\n[NAME]  -  tel [PHONE].\n"
