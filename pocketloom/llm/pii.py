@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -120,7 +121,7 @@ STREETS = (
     ("rue ", "avenue ", "av. ", "quai ", "boulevard ", "bd ", "place ", "chemin ", "impasse ", "allée ", "cours ", "square ", "route ", "passage "),
     ("calle", "c/", "avenida", "avda.", "av.", "plaza", "paseo", "camino", "ronda", "travesía", "carretera"),
 )
-#: Characters before and after such a word within which its address must lie.
+#: Characters before and after such a word within which its address must lie, each run of white space counted as one.
 REACH = (90, 140)
 
 _B = r"[\s.\-]"
@@ -197,9 +198,10 @@ class Finder:
         for s, e in at.get("at", ()):
             if hit := _email(text, s, e):
                 taken.add(*hit, "EMAIL")
+        short, there, back = _collapsed(text)
         for i, pattern in enumerate(_ADDRESSES):
-            for s, e in _addresses(text, pattern, at.get(f"street{i}", ())):
-                taken.add(s, e, "ADDRESS")
+            for s, e in _addresses(short, pattern, [(there(s), there(e)) for s, e in at.get(f"street{i}", ())]):
+                taken.add(back(s), back(e - 1) + 1, "ADDRESS")
         for s, e in at.get("id", ()):
             if hit := _id_number(text, s, e):
                 taken.add(*hit, "ID_NUMBER")
@@ -272,6 +274,32 @@ def _alone(text: str, s: int, e: int) -> bool:
     return not (s and text[s - 1].isalnum()) and not text[e : e + 1].isalnum()
 
 
+_RUN = re.compile(r"\s{2,}")
+
+
+def _collapsed(text: str) -> tuple[str, Callable[[int], int], Callable[[int], int]]:
+    """The text with each run of white space as one space, and places in the text to places in it and back."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    if not runs:
+        return text, int, int
+    starts, ends, shifts, gone = [], [], [], 0
+    for s, e in runs:
+        gone += e - s - 1
+        starts.append(s)
+        ends.append(e - gone)
+        shifts.append(gone)
+
+    def there(i: int) -> int:
+        k = bisect_right(starts, i) - 1
+        return i if k < 0 else max(i, runs[k][1] - 1) - shifts[k]
+
+    def back(i: int) -> int:
+        k = bisect_right(ends, i) - 1
+        return i if k < 0 else i + shifts[k]
+
+    return _RUN.sub(" ", text), there, back
+
+
 def _addresses(text: str, pattern: re.Pattern, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     done = 0
     for s, e in cues:

@@ -56,6 +56,15 @@ def test_recall_on_names_held_out():
     assert not any(finder.found(f"Later {g} Tolvand went home.") for g in HELD_OUT)  # the limit README states
 
 
+def test_addresses_over_deep_indentation():
+    gap = "\n" + " " * 200
+    for parts in (["208", "Birch", "Road, Apt 26C,", "Grimley, XY", "00110"], ["Am Birkenplatz", "29,", "00460", "Ostertal"], ["74, avenue", "Birche,", "00978", "Montoriel"], ["Calle", "Abedul", "15,", "00793", "Fuenteoro"]):
+        for n in (1, 20):
+            text = "Kept   at" + gap + gap.join(parts) + "." + " " * n + "End."
+            assert Finder().found(text) == {("ADDRESS", " ".join(parts))}
+            assert Finder().redacted(text) == "Kept   at" + gap + "[ADDRESS]." + " " * n + "End."
+
+
 def test_redaction_keeps_the_rest():
     text = "Thanks,\nAlice\nTolvand  -  tel 555-0128.\n"
     assert Finder().redacted(text) == "Thanks,\n[NAME]  -  tel [PHONE].\n"
