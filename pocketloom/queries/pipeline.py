@@ -405,7 +405,7 @@ def dry_run_summary(spark, sf):
 def model_predictions(spark, sf):
     """Of the regressor fitted on the train rows, for all active splits."""
     rows = materialize(_described(spark, sf), "rows")
-    model, moments = fitted(rows.where("split = 'train'"), epochs=10)
+    model, moments = fitted(rows.where("split = 'train'"))
     return predict(model, rows, moments)
 
 

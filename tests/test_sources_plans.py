@@ -260,3 +260,21 @@ def test_docking_tables(spark, tmp_path):
     for bad in (table.limit(0), table.select("n", "command")):
         with pytest.raises(ContractError):
             docking.commands(bad)
+
+
+def test_model_predictions_fit_as_many_epochs_as_production(monkeypatch):
+    from types import SimpleNamespace
+
+    from pocketloom.plans import affinity_model
+    from pocketloom.queries import pipeline
+
+    asked, rows = [], SimpleNamespace(where=lambda _: None)
+    monkeypatch.setattr(affinity_model, "target_moments", lambda *_: (0.0, 1.0))
+    monkeypatch.setattr(affinity_model, "scaled_target", lambda *_: None)
+    monkeypatch.setattr(affinity_model, "features", lambda _: None)
+    monkeypatch.setattr(affinity_model, "regressor", lambda epochs, _: asked.append(epochs) or SimpleNamespace(fit=lambda _: None))
+    monkeypatch.setattr(pipeline, "materialize", lambda *_: rows)
+    monkeypatch.setattr(pipeline, "_described", lambda *_: rows)
+    monkeypatch.setattr(pipeline, "predict", lambda *_: None)
+    pipeline.QUERIES["model_predictions"](None, "")
+    assert asked == [50]
