@@ -278,3 +278,18 @@ def test_model_predictions_fit_as_many_epochs_as_production(monkeypatch):
     monkeypatch.setattr(pipeline, "predict", lambda *_: None)
     pipeline.QUERIES["model_predictions"](None, "")
     assert asked == [50]
+
+
+def test_vector_operators_work_on_all_components(spark):
+    import numpy as np
+
+    from pocketloom.operators.embeddings import mean_pooled, standard_moments, standardized, with_descriptors
+
+    x = np.random.default_rng(1).normal(size=(6, 64))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "protein_idx int, k int, descriptor array<double>")
+    pooled = {r["k"]: r["pooled"] for r in mean_pooled(df, "k", "descriptor").collect()}
+    assert all(np.allclose(pooled[k], x[k::2].mean(0)) for k in (0, 1))
+    z = {r["protein_idx"]: r["z"] for r in standardized(df, "descriptor", *standard_moments(df, "descriptor"), "z").collect()}
+    assert np.allclose([z[i] for i in range(6)], (x - x.mean(0)) / x.std(0))
+    got = {r["protein_idx"]: r["descriptor"] for r in with_descriptors(df.select("protein_idx"), df).collect()}
+    assert np.allclose([got[i] for i in range(6)], x)
