@@ -53,7 +53,66 @@ def test_recall_on_names_held_out():
     cues = ("signed by {}.", "Please contact {} soon.", "Regards,\n{}", "Unterschrieben von {}.", "Cordialement,\n{}", "Firmado por {}.")
     finder = Finder()
     assert all(finder.found(c.format(f"{g} Tolvand")) == {("NAME", f"{g} Tolvand")} for g in HELD_OUT for c in cues)
-    assert not any(finder.found(f"Later {g} Tolvand went home.") for g in HELD_OUT)  # the limit README states
+    assert all(finder.found(f"Later {g} Tolvand went home.") == {("NAME", f"{g} Tolvand")} for g in HELD_OUT)
+
+
+#: Further given and family names in no list of the package, from countries whose names it mostly lacks.
+ABROAD = """Chidi Temitope Thanh Nguyet Siddhartha Anuradha Ezgi Hüseyin Tuğba Jadranka Zvonimir Ruslan Giorgi Nino Tamar Baurzhan Aigerim Kanat Sorin Viorel Liisu Jüri
+Imants Baiba Gintaras Rasa Kalevi Väinö Eerikki Snorri Guðrún Þórunn Mehtap Parisa Shirin Farhad Dilnoza Otabek Makoto Hinako Seung Jiwoo Nomvula Sipho Thandiwe Ayodele Folasade
+Malaika Wanjiru Otieno Quetzal Itzel Nahuel Ayelén""".split()
+FAMILIES = "Tolvand Obiorandu Perić Ganzorig Brunswig Lehtonen Kvaran Mkhize Arslanoğlu Tran Yamashiro Chatterjee".split()
+#: Sentences with a name somewhere. The rules found 0.44 of the names when these were first tried; the rule of place was made then.
+LAYOUTS = (
+    "We are still waiting for a reply of {} concerning lot 7.", "Has anyone seen {} since the fire drill?", "{}, who joined in May, runs the robot.",
+    "The centrifuge was broken last night, says {}.", "Room 4 is shared between {} and a student.", "{} (Kinetics) will present the data.", "Minutes taken: {}",
+    "Last week {} presented new data.", "The key is with {}.", "A parcel arrived, addressed to {}.", "Der Schlüssel liegt bei {}.", "Heute hat {} Geburtstag.",
+    "Anbei die Daten, die {} gemessen hat.", "Les données de {} sont prêtes.", "Merci de prévenir {} avant midi.", "Los datos de {} están listos.", "Llame a {} antes del lunes.",
+    "{} and I repeated the run.", "I think {} knows the password.", "The badge of {} no longer opens the door.", "{}: please bring your own pipettes.",
+    "As agreed with {} on the phone, we stop.", "Sorry {}, the plate is gone.", "Results were checked by {} twice.", "{} ist krank.", "{} est absente.", "{} no vino.",
+    "{}'s badge was found.", "Approved: {}, 3 May", "{} hat gestern angerufen.", "{} a téléphoné ce matin.", "{} trabaja en el turno de noche.",
+)
+#: Capitals that name no person.
+NO_NAMES = """A Western Blot was run. The talk is about Monte Carlo methods. We flew to New York on Monday. He lives in San Francisco. The Green Lantern is a bar.
+See Figure Two for details. It was made by Sigma Aldrich Ltd. The Bradford Assay failed. We used the Michaelis Menten equation. From South Africa came a call. The Royal Society met.
+According to Nature Methods, it works. Die Proben kamen von Roche Diagnostics. Das Gerät von Agilent Technologies ist neu. Der Puffer ist von Carl Roth GmbH. El reactivo es de Panreac Química.
+The Golden Gate method was used. Buffers by Cold Spring Harbor Protocols. In Mass Spectrometry mode. With Magic Angle Spinning we saw it. It was Boxing Day. Install Windows Server first.
+The Great Barrier Reef. We saw the White House. Die Firma Boehringer Ingelheim liefert. Ask Customer Service. Our Standard Operating Procedure is old. The Data Safety Board met.
+Contact Human Resources. Read the Safety Data Sheet. The sample was sent to Oxford Nanopore. Plates from Thermo Fisher were used. La plaque vient de Lyon Sud. He went to Buenos Aires.""".replace("\n", " ").split(". ")
+
+
+def test_recall_and_precision_on_names_and_layouts_held_out():
+    """Of names in no list nine of ten are found in running text; of the sentences without a name, firms and places of
+    two unknown words are taken for persons. README has the figures."""
+    from pocketloom.llm.pii import _GIVEN
+
+    abroad = [g for g in [*ABROAD, *HELD_OUT] if g.lower() not in _GIVEN]
+    assert len(abroad) > 60
+    finder = Finder()
+    names = [f"{g} {FAMILIES[i % len(FAMILIES)]}" for i, g in enumerate(abroad)]
+    right = found = 0
+    for layout in LAYOUTS:
+        for n in names:
+            got = {t for k, t in finder.found(layout.format(n)) if k == "NAME"}
+            right, found = right + (n in got), found + len(got)
+    assert right / (len(names) * len(LAYOUTS)) >= 0.9 and right / found >= 0.98
+    wrong = [x for x in NO_NAMES if finder.found(x + ".")]
+    assert len(wrong) <= 4, wrong
+
+
+@pytest.mark.parametrize("text,want", [
+    ("My SSN is 123-45-6789.", {("ID_NUMBER", "123-45-6789")}),
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC X, not IBAN DE88 3704 0044 0532 0130 00.", {("ID_NUMBER", "DE89 3704 0044 0532 0130 00")}),
+    ("Card 4111 1111 1111 1111, not card 4111 1111 1111 1112.", {("ID_NUMBER", "4111 1111 1111 1111")}),
+    ("Write to jo.smith AT mail.example or ana.ruiz at mail.example; we met at mail.example.", {("EMAIL", "jo.smith AT mail.example"), ("EMAIL", "ana.ruiz at mail.example")}),
+    ("Reach me: 555-0128; tel:+442079460018", {("PHONE", "555-0128"), ("PHONE", "+442079460018")}),
+    ("mailto:x.y%40c.example, ftp://bob:secret@host.example/x", {("EMAIL", "x.y%40c.example")}),
+    (f"mailto:{'a' * 150}.b@c.example", {("EMAIL", f"{'a' * 150}.b@c.example")}),
+    ("Kept at 12 Xoán-" + "Y" + "y" * 200 + " Road, Grimley, XY 00110.", {("ADDRESS", "12 Xoán-" + "Y" + "y" * 200 + " Road, Grimley, XY 00110")}),
+    ("The form of Nkechi Obiorandu, Tjark Brunswig and Bolormaa Ganzorig came.", {("NAME", "Nkechi Obiorandu"), ("NAME", "Tjark Brunswig"), ("NAME", "Bolormaa Ganzorig")}),
+    ("The Perić Zdravko; mail zdravko.peric@x.example", {("NAME", "Perić Zdravko"), ("EMAIL", "zdravko.peric@x.example")}),
+])
+def test_schemes_check_digits_and_long_cases(text, want):
+    assert Finder().found(text) == want
 
 
 def test_addresses_over_deep_indentation():
