@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Slices into which the distinct values of a key are spread while its median is sought.
-SLICES = 64
+#: Slices into which the distinct values of a key are cut while its median is sought, and how often the slice that holds
+#: it is cut again: at the end one part in SLICES ** LEVELS of a key's distinct values is ordered.
+SLICES, LEVELS = 64, 2
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -33,8 +34,9 @@ def per_key_summary(df: DataFrame, key: str, item: str, value: str) -> DataFrame
     median. The median of an even number of values is the mean of the middle two. Repeated rows count.
 
     No task ever holds the rows of one key: rows are combined by (key, item) and by (key, value) before they move,
-    in the task that reads them. The distinct values left are spread over SLICES ranges of each key, of which only
-    the one or two that hold the middle are ordered.
+    in the task that reads them. The distinct values left are cut into SLICES slices at quantiles of each key's own
+    distinct values, so that values far off or in another unit don't crowd the others into one slice. Counts tell
+    exactly in which slice, or two, the middle lies; it is cut again the same way, and only what is left is ordered.
     """
     rows = df.select(F.col(key).alias("__k"), F.col(item).alias("__i"), F.col(value).cast("double").alias("__v")).where(F.col("__k").isNotNull())
     items = (
@@ -42,18 +44,34 @@ def per_key_summary(df: DataFrame, key: str, item: str, value: str) -> DataFrame
         .groupBy("__k").agg(F.sum("n").alias("rows"), F.count("__i").alias("items"))
     )
     values = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("n"))
-    bounds = values.groupBy("__k").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.sum("n").alias("total"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * SLICES), F.lit(SLICES - 1))).otherwise(0)
-    sliced = values.join(bounds, "__k").withColumn("slice", part.cast("int"))
-    ranges = sliced.groupBy("__k", "slice").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
-    upto = ranges.withColumn("end", F.sum("m").over(W.partitionBy("__k").orderBy("slice"))).withColumn("begin", F.col("end") - F.col("m"))
-    first, last = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    middle = upto.where((F.col("end") >= first) & (F.col("begin") < last)).select("__k", "slice", "begin", "total")
-    inner = values.join(bounds.drop("total"), "__k").withColumn("slice", part.cast("int")).join(middle, ["__k", "slice"])
-    at = F.col("begin") + F.sum("n").over(W.partitionBy("__k", "slice").orderBy("__v"))
-    hit = inner.withColumn("at", at).where((F.col("at") >= first) & (F.col("at") - F.col("n") < last))
+    totals = values.groupBy("__k").agg(F.sum("n").alias("total"))
+    part = values.join(totals, "__k").withColumn("begin", F.lit(0).cast("bigint"))
+    for _ in range(LEVELS):
+        part = middle_part(part)
+    first, last = _middle_ranks()
+    at = F.col("begin") + F.sum("n").over(W.partitionBy("__k").orderBy("__v"))
+    hit = part.withColumn("at", at).where((F.col("at") >= first) & (F.col("at") - F.col("n") < last))
     medians = hit.groupBy("__k").agg(
         ((F.min("__v") + F.max("__v")) / 2).alias("median"), F.first("total").alias("n_values")
     )
     out = items.join(medians, "__k", "left")
     return out.select(F.col("__k").alias(key), "rows", "items", F.coalesce("n_values", F.lit(0)).alias("n_values"), "median")
+
+
+def _middle_ranks() -> tuple[Column, Column]:
+    return F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+
+
+def middle_part(values: DataFrame) -> DataFrame:
+    """Of rows (__k, __v, n, total, begin), a key's distinct values with their counts, those in the slice or slices that
+    hold the middle of total; begin counts the rows of the key below all of them."""
+    shares = [i / SLICES for i in range(1, SLICES)]
+    cuts = values.groupBy("__k").agg(F.percentile_approx("__v", shares, 1000).alias("cuts"))
+    sliced = values.join(cuts, "__k").withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("__v")))).drop("cuts")
+    sizes = sliced.groupBy("__k", "slice").agg(F.sum("n").alias("m"), F.first("total").alias("total"), F.first("begin").alias("begin"))
+    upto = sizes.withColumn("end", F.col("begin") + F.sum("m").over(W.partitionBy("__k").orderBy("slice")))
+    first, last = _middle_ranks()
+    held = upto.where((F.col("end") >= first) & (F.col("end") - F.col("m") < last))
+    held = held.groupBy("__k").agg(F.min("slice").alias("lo"), F.max("slice").alias("hi"), F.min(F.col("end") - F.col("m")).alias("below"))
+    inside = sliced.join(held, "__k").where(F.col("slice").between(F.col("lo"), F.col("hi")))
+    return inside.select("__k", "__v", "n", "total", F.col("below").alias("begin"))

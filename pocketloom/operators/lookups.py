@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pocketloom.operators.contracts import ContractError, assert_unique
-from pocketloom.runtime import BROADCAST_ROWS, materialize
+from pocketloom.runtime import BROADCAST_BYTES, BROADCAST_ROWS, materialize, row_bytes
 
 
 def join_many_to_one(
@@ -19,7 +19,7 @@ def join_many_to_one(
 
     on names columns of both sides, or pairs of a left and a right column. Columns of right keep their names, so they
     must not clash with others of left. One pass over the keys of right tells whether they repeat and whether right is
-    small enough to broadcast. unique says that right is grouped by its keys: then nothing is checked, and the join is
+    small enough, in rows and bytes, to broadcast. unique says that right is grouped by its keys: then nothing is checked, and the join is
     left to adaptive execution.
     """
     pairs = [(x, x) if isinstance(x, str) else x for x in on]
@@ -30,10 +30,11 @@ def join_many_to_one(
         raise ContractError(f"both sides of the join have the columns {sorted(clash)}")
     side = right.select(*(F.col(f"`{r}`").alias(k) for (_, r), k in zip(pairs, keys)), *others).dropna(subset=keys)
     if not unique:
-        rows, most = side.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+        counted = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(side)).alias("size"))
+        rows, most, size = counted.agg(F.sum("n"), F.max("n"), F.sum("size")).first()
         if (most or 0) > 1:
             assert_unique(side, keys, name)
-        if (rows or 0) <= BROADCAST_ROWS:
+        if (rows or 0) <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
             side = F.broadcast(side)
     condition = reduce(Column.__and__, (left[f"`{x}`"] == side[k] for (x, _), k in zip(pairs, keys)))
     return left.join(side, condition, how).drop(*keys)

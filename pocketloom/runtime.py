@@ -8,9 +8,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table may be broadcast. A row of keys is well under 1 kB, so this stays under 50 MB.
+#: Rows and bytes up to which a table may be broadcast.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 #: White space as Python's str.strip() understands it: blanks, tabs, line breaks, no-break and typographic spaces.
 SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -71,13 +73,30 @@ def _sweep() -> None:
             pass
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most that many rows; reads no more of it than that."""
-    return df.limit(rows + 1).count() <= rows
+def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """About how many bytes a row takes: the length of text, eight for each number, nested values as JSON."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields if columns is None else [df.schema[c] for c in columns]:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            total = total + F.coalesce(F.array_size(c), F.lit(0)) * 8 + 16
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            total = total + 8
+    return total
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most that many rows and bytes; reads no more rows of it than that."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return n <= rows and (size or 0) <= most_bytes
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its size was checked to be within the bound, else df for a shuffled join."""
+    """df with a broadcast hint if its rows and bytes were checked to be within the bounds, else df for a shuffled join."""
     return F.broadcast(df) if small(df, rows) else df
 
 

@@ -47,3 +47,17 @@ def test_infinite_values(spark):
 def test_no_rows_and_no_values(spark):
     assert per_key_summary(spark.createDataFrame([], ROWS), "k", "i", "v").collect() == []
     assert [tuple(r) for r in per_key_summary(spark.createDataFrame([("a", None, None)], ROWS), "k", "i", "v").collect()] == [("a", 1, 0, 0, None)]
+
+
+def test_wrong_units_do_not_crowd_values_into_one_slice(spark):
+    """A key with values in two units a billion apart: each step leaves a small part of its distinct values."""
+    from pyspark.sql import functions as F
+
+    from pocketloom.operators.heavy_keys import middle_part
+
+    rows = spark.range(40_000).selectExpr("'hot' AS k", "'i' AS i", "CASE WHEN id % 50 = 0 THEN id * 1e9 ELSE 4 + id / 1e5 END AS v")
+    values = rows.select(F.col("k").alias("__k"), F.col("v").alias("__v"), F.lit(1).cast("bigint").alias("n"), F.lit(40_000).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("begin"))
+    once = middle_part(values)
+    assert once.count() < 0.05 * 40_000 and middle_part(once).count() < 100
+    every = sorted(r["v"] for r in rows.collect())
+    assert per_key_summary(rows, "k", "i", "v").first()["median"] == (every[19_999] + every[20_000]) / 2
