@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pocketloom.runtime import materialize, trimmed
+from pocketloom.runtime import broadcast_if_small, materialize, small, trimmed
 
-#: Groups for which a threshold may be kept: bounds what is broadcast, about 24 bytes each.
+#: Thresholds that are broadcast at most; further ones are joined by shuffling.
 MAX_THRESHOLDS = 20_000
-#: Cuts of the score range, at the shares 2^-1 ... 2^-CUTS of all scores: fine where the best scores are.
-CUTS = 24
+#: Cuts of the score range, at these shares of all scores: fine where the best scores are, even elsewhere.
+CUTS = sorted({*(2.0**-k for k in range(1, 25)), *(i / 16 for i in range(1, 16))})
 
 
 def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -36,34 +38,49 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str
     rows equal in score and all ties are numbered in an undefined order, so ties should end in a unique column.
     An empty table gives an empty result; other columns are kept.
 
-    df is read twice, so it should be a written table. First a histogram of scores is counted for each group, within
-    each task first. For groups with many rows, the lowest bin at which the group has n rows gives a threshold that at
-    least n rows meet and no row of the result exceeds. Rows beyond it are dropped before anything moves: of a group
-    of millions little more than n rows is left. Only what is left is shuffled and ranked exactly. Thresholds are kept
-    for groups of at least 1 / MAX_THRESHOLDS of all rows, so there are at most MAX_THRESHOLDS of them to broadcast;
-    groups below need none.
+    df is read more than once, so it should be a written table. Rows that can't be among the n are dropped before they
+    are ranked: see without_hopeless. What is left, little more than n rows of each large group, is ranked exactly.
     """
-    rows = df.where(F.col(score).isNotNull() & ~F.isnan(score)).dropna(subset=groups)
-    shares = [2.0**-k for k in range(CUTS, 0, -1)]
-    total, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx(score, shares, 100_000)).first()
-    if total:
-        bin_ = sum((F.when(F.col(score) > float(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)).cast("int")
-        key = F.xxhash64(*groups).alias("__group")  # groups that share a hash share the stricter need of both: see below
-        counted = rows.groupBy(*groups, bin_.alias("__bin")).agg(F.count(F.lit(1)).alias("m"))
-        w = W.partitionBy(*groups)
-        upto = counted.withColumn("size", F.sum("m").over(w)).withColumn("upto", F.sum("m").over(w.orderBy("__bin")))
-        least = max(8 * n, -(-total // MAX_THRESHOLDS))
-        cut = (
-            upto.where((F.col("size") >= least) & (F.col("upto") >= n))
-            .groupBy(*groups).agg(F.min("__bin").alias("__cut"))
-            .groupBy(key).agg(F.max("__cut").alias("__cut"))  # at a shared hash the looser threshold is safe for both
-        )
-        kept = rows.withColumn("__bin", bin_).withColumn("__group", key).join(F.broadcast(cut), "__group", "left")
-        rows = kept.where(F.col("__cut").isNull() | (F.col("__bin") <= F.col("__cut"))).drop("__bin", "__cut", "__group")
+    rows = without_hopeless(df.where(F.col(score).isNotNull() & ~F.isnan(score)).dropna(subset=groups), groups, score, n)
     order = [F.asc(score), *(F.asc_nulls_last(c) for c in ties)]
-    hashed = rows.withColumn("__group", F.xxhash64(*groups))  # a number is sorted faster than the strings behind it
-    ranked = hashed.withColumn(rank, F.row_number().over(W.partitionBy("__group", *groups).orderBy(*order)))
-    return ranked.where(F.col(rank) <= n).drop("__group")
+    hashed = rows.withColumn("__h", F.xxhash64(*groups))  # a number is sorted faster than the strings behind it
+    ranked = hashed.withColumn(rank, F.row_number().over(W.partitionBy("__h", *groups).orderBy(*order)))
+    return ranked.where(F.col(rank) <= n).drop("__h")
+
+
+def without_hopeless(rows: DataFrame, groups: list[str], score: str, n: int, most: int = MAX_THRESHOLDS) -> DataFrame:
+    """rows, which have neither null groups nor scores, without those beyond the threshold of their group.
+
+    A histogram of scores is counted for each group, within each task first. In every group of 8 n rows or more, the
+    lowest bin at which it has n rows gives a threshold that at least n rows meet and no row among its first n exceeds.
+    If at most `most` groups have a threshold, and these are small in bytes too, they are broadcast and nothing moves.
+    Else those of the groups with 1 / most of all rows are broadcast, so that hot groups shrink in the tasks that read
+    them, and the others are joined by shuffling by group, the partitioning in which ranks are found afterwards.
+    Thresholds are joined on the group columns themselves; a hash goes along only to sort faster.
+    """
+    total, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx(score, CUTS, 100_000)).first()
+    if not total:
+        return rows
+    bin_ = sum((F.when(F.col(score) > float(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)).cast("int")
+    own = [f"__g{i}" for i in range(len(groups))]
+    keyed = rows.select(F.xxhash64(*groups).alias("__h"), *(F.col(f"`{g}`").alias(o) for g, o in zip(groups, own)), bin_.alias("__bin"))
+    counted = keyed.groupBy("__h", *own, "__bin").agg(F.count(F.lit(1)).alias("m"))
+    w = W.partitionBy("__h", *own)
+    upto = counted.withColumn("__size", F.sum("m").over(w)).withColumn("upto", F.sum("m").over(w.orderBy("__bin")))
+    thresholds = upto.where((F.col("__size") >= 8 * n) & (F.col("upto") >= n)).groupBy("__h", *own).agg(F.min("__bin").alias("__cut"), F.first("__size").alias("__size"))
+    thresholds = materialize(thresholds, "thresholds")
+
+    def within(rows: DataFrame, cut: DataFrame) -> DataFrame:
+        cut = cut.drop("__size")
+        marked = rows.withColumns({"__h": F.xxhash64(*groups), "__b": bin_})
+        on = reduce(Column.__and__, (marked[f"`{g}`"] == cut[o] for g, o in zip(groups, own)), marked["__h"] == cut["__h"])
+        kept = marked.join(cut, on, "left").where(F.col("__cut").isNull() | (F.col("__b") <= F.col("__cut")))
+        return kept.select(*(marked[f"`{c}`"] for c in rows.columns))
+
+    if small(thresholds, most):
+        return within(rows, F.broadcast(thresholds))
+    hot = F.col("__size") * most >= total
+    return within(within(rows, broadcast_if_small(thresholds.where(hot), most)), thresholds.where(~hot))
 
 
 def best_poses(poses: DataFrame, n: int = 3) -> DataFrame:

@@ -50,3 +50,23 @@ def test_empty_table_and_clashing_columns(spark):
 def test_rows_without_a_key_stand_for_themselves(spark):
     df = spark.createDataFrame([(None, 1), (None, 1), ("a", 2), ("a", 1)], "k string, o int")
     assert sorted(map(tuple, first_of_each(df, "k", ["o"]).collect()), key=str) == [("a", 1), (None, 1), (None, 1)]
+
+
+def test_every_large_group_has_a_threshold(spark):
+    """25,000 groups of 40 rows and one of 200,000, with thresholds broadcast, in part, or not at all."""
+    from pocketloom.llm.topn import without_hopeless
+
+    rows = spark.range(1_200_000).selectExpr("CASE WHEN id < 1000000 THEN id % 25000 ELSE -1 END AS g", "abs(xxhash64(id) % 1000000) / 1.0 AS s", "id")
+    want = {r["g"]: r["s"] for r in rows.groupBy("g").agg({"s": "min"}).withColumnRenamed("min(s)", "s").collect()}
+    for most in (20_000, 50_000, 10):
+        kept = without_hopeless(rows, ["g"], "s", 3, most)
+        sizes = {r["g"]: r["count"] for r in kept.groupBy("g").count().collect()}
+        assert len(sizes) == 25_001 and min(sizes.values()) >= 3 and sum(sizes.values()) < 0.25 * 1_200_000 and sizes[-1] < 200
+        assert {r["g"]: r["s"] for r in kept.groupBy("g").agg({"s": "min"}).withColumnRenamed("min(s)", "s").collect()} == want
+
+
+def test_groups_with_like_scores_high_above_the_others_lose_rows_too(spark):
+    from pocketloom.llm.topn import without_hopeless
+
+    rows = spark.range(100_000).selectExpr("id % 10 AS g", "(id % 10) * 1000 + abs(xxhash64(id) % 1000) / 1.0 AS s")
+    assert without_hopeless(rows, ["g"], "s", 3).count() < 75_000
