@@ -13,12 +13,14 @@ from pocketloom.runtime import discard, materialize
 MAX_ROUNDS = 200
 
 
-def numbered(values: DataFrame, name: str) -> DataFrame:
-    """(id, name): the distinct values that are not null, numbered in their order and written down.
+def numbered(values: DataFrame, name: str, in_order: bool = True) -> DataFrame:
+    """(id, name): the distinct values that are not null, numbered and written down, by default in their order.
 
-    Ids rise with the values, by code point, but have gaps. They are fixed from here on, also if executors are lost.
+    In order, ids rise with the values, by code point, but have gaps. They are fixed from here on, also if executors are
+    lost.
     """
-    ordered = values.select(name).dropna().distinct().orderBy(name)
+    distinct = values.select(name).dropna().distinct()
+    ordered = distinct.orderBy(name) if in_order else distinct
     return materialize(ordered.select(F.monotonically_increasing_id().alias("id"), name), "vertices")
 
 
@@ -43,11 +45,16 @@ def hash_order_hooks(edges: DataFrame, round_no: int, seed: int) -> DataFrame:
 
 
 def random_mate_hooks(edges: DataFrame, round_no: int, seed: int) -> DataFrame:
-    """(x, to): every vertex tosses a coin; tails with a neighbour that fell heads hook to the lowest such neighbour,
-    all others stay."""
-    heads = lambda c: F.xxhash64(c, F.lit(seed), F.lit(round_no)) % 2 == 0
-    mate = F.min(F.when(~heads("x") & heads("y"), F.col("y")))
-    return _both_ways(edges).groupBy("x").agg(F.coalesce(mate, F.col("x")).alias("to"))
+    """(x, to): every vertex tosses a coin; tails with a neighbour that fell heads hook to the lowest such neighbour.
+
+    A vertex with a single neighbour that finds no mate so hooks to it all the same if its own hash is the higher one,
+    so that pairs and the leaves of stars don't wait for their coins. Heads are the lower half of the hashes: every hook
+    leads to a lower hash, so hooks never run in circles. All others stay.
+    """
+    h = lambda c: F.xxhash64(c, F.lit(seed), F.lit(round_no))
+    mate = F.min(F.when((h("x") >= 0) & (h("y") < 0), F.col("y")))
+    only = F.when((F.count("y") == 1) & (h(F.min("y")) < h("x")), F.min("y"))
+    return _both_ways(edges).groupBy("x").agg(F.coalesce(mate, only, F.col("x")).alias("to"))
 
 
 def contract(edges: DataFrame, hooks: Callable[[DataFrame, int, int], DataFrame], seed: int = 7) -> DataFrame:
@@ -70,7 +77,7 @@ def contract(edges: DataFrame, hooks: Callable[[DataFrame, int, int], DataFrame]
         named = edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
         fewer = named.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fewer = materialize(fewer, "edges")
-        discard(edges)
+        discard(edges)  # hooks stay until the session ends: what is returned reads them
         edges = fewer
     raise RuntimeError(f"the graph was not contracted within {MAX_ROUNDS} rounds")
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pocketloom.llm.contraction import linked_groups
@@ -12,11 +14,13 @@ from pocketloom.llm.leakage import leak_report, leaked_items
 from pocketloom.llm.mixing import mixture
 from pocketloom.llm.pii import personal_information, redact
 from pocketloom.llm.setjoin import linked_texts, similar_pairs
-from pocketloom.llm.splits import assign_splits, conflicting_groups, related_groups
+from pocketloom.llm.splits import FRACTIONS, assign_splits, conflicting_groups, related_groups
 from pocketloom.llm.topn import best_poses
-from pocketloom.runtime import accession, small, table, trimmed
+from pocketloom.runtime import accession, materialize, small, table, trimmed
 
 ACTIVE = ["train", "val", "test"]
+#: Rows that share any of these are related.
+RELATED = ["ligand", "spelling"]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,8 +28,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of affinity_split_manifest with their ligand in normal form and as it is spelt, and the split of their label."""
+    ligand = trimmed("ligand")
     rows = table(spark, sf, "affinity_split_manifest").select(
-        "row_id", trimmed("ligand").alias("ligand"), accession("uniprot_id").alias("uniprot_id"), F.lower(trimmed("split")).alias("label")
+        "row_id", ligand.alias("ligand"), F.when(ligand.isNotNull(), F.col("ligand")).alias("spelling"), accession("uniprot_id").alias("uniprot_id"), F.lower(trimmed("split")).alias("label")
     )
     labels = table(spark, sf, "split_labels").select(F.lower(trimmed("label")).alias("label"), F.lower(trimmed("split")).alias("split")).distinct()
     if small(labels):
@@ -34,18 +40,19 @@ def _split_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return conflicting_groups(related_groups(_split_rows(spark, sf), ["ligand"]), "split", ACTIVE, ["ligand"])
+    """Ligands whose rows, related by any spelling or by the ligand itself, carry at least two of the active splits."""
+    return conflicting_groups(related_groups(_split_rows(spark, sf), RELATED), "split", ACTIVE, ["ligand"])
 
 
 def _assigned(records: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    grouped = related_groups(records, ["ligand"], links)
+    grouped = related_groups(records, RELATED, links)
     splits = assign_splits(grouped, "uniprot_id")
-    return grouped.join(splits, "group", "left").select("row_id", "split")
+    return grouped.join(splits, "group", "left").select("row_id", "ligand", "split")
 
 
 def p2_assign(spark: SparkSession, sf: str) -> DataFrame:
     """Each row with the split assigned to its ligand; null where it has no ligand."""
-    return _assigned(_split_rows(spark, sf).drop("split"))
+    return _assigned(_split_rows(spark, sf).drop("split")).select("row_id", "split")
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +62,43 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_assign_linked(spark: SparkSession, sf: str) -> DataFrame:
     """As p2_assign, but ligands that ligand_match links, directly or through others, share a split as well."""
-    return _assigned(_split_rows(spark, sf).drop("split"), _matches(spark, sf))
+    return _assigned(_split_rows(spark, sf).drop("split"), _matches(spark, sf)).select("row_id", "split")
+
+
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of the rows that each split of p2_assign got, beside its target, to three places."""
+    rows = _assigned(_split_rows(spark, sf).drop("split")).where("split IS NOT NULL")
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.col("rows") / F.sum("rows").over(W.partitionBy())  # a row for each split
+    target = F.create_map(*(F.lit(x) for pair in FRACTIONS.items() for x in pair))
+    return counts.select("split", "rows", F.round(share, 4).alias("share"), F.element_at(target, F.col("split")).alias("target"))
+
+
+def _rules(assigned: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: rows with and without a split, ligands in more than one, links across splits, and whether each split's
+    share lies within 0.2 points of its target, or within two rows of it where these are more."""
+    rows = materialize(assigned, "assigned")
+    of = rows.where("ligand IS NOT NULL").groupBy("ligand").agg(F.min("split").alias("split"), F.max("split").alias("other"), F.count(F.lit(1)).alias("n"))
+    split = of.where("split <> other").agg(F.count(F.lit(1)).alias("split_ligands"))
+    ends = of.select("ligand", "split")
+    crossing = links.join(ends.toDF("a", "s"), "a").join(ends.toDF("b", "t"), "b").where("s <> t").agg(F.count(F.lit(1)).alias("crossing_links"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy())
+    target = F.create_map(*(F.lit(x) for pair in FRACTIONS.items() for x in pair))
+    by = rows.where("split IS NOT NULL").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest(F.lit(0.002), 2 / F.sum("n").over(W.partitionBy()))
+    near = by.select((F.abs(share - F.element_at(target, F.col("split"))) <= most).alias("near")).agg((F.count_if("near") == len(FRACTIONS)).alias("on_target"))
+    sums = rows.agg(F.count("split").alias("assigned"), F.count_if(F.col("split").isNull()).alias("unassigned"))
+    parts = [sums, split, crossing, near]  # a row each
+    names = [c for p in parts for c in p.columns]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*(F.max(c).alias(c) for c in names))
+
+
+def p2_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return _rules(_assigned(_split_rows(spark, sf).drop("split")), _matches(spark, sf).where("a = b")).drop("crossing_links")
+
+
+def p2_linked_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return _rules(_assigned(_split_rows(spark, sf).drop("split"), _matches(spark, sf)), _matches(spark, sf))
 
 
 def _ligands(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +144,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_redacted)
+    for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p2_shares, p2_rules, p2_linked_rules, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_redacted)
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8239) || chr(8201) || chr(8195) || chr(12288)"
@@ -144,6 +187,9 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach AS r JOIN both_ways AS e ON r.b = e.a)
         SELECT a AS ligand, least(a, min(b)) AS group_ligand FROM reach GROUP BY a""",
 }
+_SPLIT_ROWS = f"count({_trim('ligand')}) AS assigned, count(*) - count({_trim('ligand')}) AS unassigned, CAST(0 AS BIGINT) AS split_ligands"
+ORACLES["p2_rules"] = f"SELECT {_SPLIT_ROWS}, true AS on_target FROM affinity_split_manifest"
+ORACLES["p2_linked_rules"] = f"SELECT {_SPLIT_ROWS}, CAST(0 AS BIGINT) AS crossing_links, true AS on_target FROM affinity_split_manifest"
 ORACLES["p3_links"] = f"""
     WITH pairs AS ({ORACLES['p3_found']})
     SELECT ligand, count(*) AS links FROM (SELECT ligand_a AS ligand FROM pairs UNION ALL SELECT ligand_b FROM pairs) GROUP BY ligand"""

@@ -23,10 +23,10 @@ def related_groups(records: DataFrame, keys: list[str], links: DataFrame | None
     """records with a column group: equal for records that share a value in any of keys, directly or through others.
 
     links, with columns a and b, relates two values of the first key as well. Records without any key have a null
-    group. Each record is drawn into its first key that is not null before the contraction starts, so that the graph
-    has a vertex for each key value, not for each record, and edges only between different key values of one record
-    or link; with one key and no links nothing is left to contract and the key is the group. Values of different
-    columns are different vertices even if equal. Group is the column and value of one vertex of the component; a
+    group. The graph has a vertex for each key value, not for each record: a record is drawn into its first key that is
+    not null, and edges join different key values of one record or link. Random-mate contraction finds its components.
+    With a single key and no links there is no edge, and the key itself is the group. Values of different columns are
+    different vertices even if equal. Group is the column and value of one vertex of the component; a
     column of that name that records has already gives way to it.
     """
     records = records.drop("group")
@@ -41,7 +41,8 @@ def related_groups(records: DataFrame, keys: list[str], links: DataFrame | None
         pairs = more if pairs is None else pairs.unionByName(more)
     if pairs is None:
         return with_anchor.withColumnRenamed("__anchor", "group")
-    vertices = numbered(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
+    pairs = materialize(pairs, "pairs")
+    vertices = numbered(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key", in_order=False)
     roots = contract(edges_of(pairs, "a", "b", vertices, "key"), random_mate_hooks, seed)
     named = (
         roots.join(vertices.toDF("x", "__anchor"), "x").join(vertices.toDF("root", "__group"), "root").select("__anchor", "__group")
