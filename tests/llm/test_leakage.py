@@ -46,7 +46,17 @@ def test_matches_brute_force_in_altered_dress(spark):
 
 def test_a_crowded_filter_loses_and_adds_nothing(spark):
     docs, items = [(1, " ".join(map(str, range(500))))], [(1, " ".join(map(str, range(100, 112)))), (2, " ".join(map(str, range(200, 211))))]
-    assert [tuple(r) for r in leaked_items(*tables(spark, docs, items), bits=8).collect()] == [(1, 1)]
+    assert [tuple(r) for r in leaked_items(*tables(spark, docs, items), bits_each=1, most_bits=64).collect()] == [(1, 1)]
+
+
+def test_more_items_than_one_filter_serves(spark):
+    """Several passes, and ids that are null."""
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=40))) for i in range(30)]
+    docs = [(i if i else None, " ".join(rng.choices("xyz", k=30)) + " " + items[i][1][:60]) for i in range(30)]
+    tables_ = tables(spark, docs, items)
+    want = brute(docs, items)
+    assert {tuple(r) for r in leaked_items(*tables_, most_bits=1 << 13).collect()} == want == {tuple(r) for r in leaked_items(*tables_).collect()} and len(want) >= 30
 
 
 def test_empty_sides(spark):
