@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pocketloom.runtime import broadcast_if_small, materialize, trimmed
 
-#: Default tokenizer: ranks of a byte-level BPE, one "base64 number" a line.
+#: Default tokenizer: ranks of a byte-level BPE, one "base64 number" a line. The driver reads it and sends it along (under 1 MB).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts text into pieces before it merges bytes; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,14 +61,13 @@ def allocate(node: Node, amount: int) -> int:
     return 0
 
 
-def token_counter(path: str = TOKENIZER):
-    """A function for mapInPandas that turns the column text into n_tokens, 0 for null."""
+def token_counter(ranks_file):
+    """A function for mapInPandas that turns the column text into n_tokens, 0 for null. ranks_file: a broadcast of the file."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.value.splitlines() if line.strip())}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch["text"]]
@@ -78,7 +78,7 @@ def token_counter(path: str = TOKENIZER):
 
 def mixture(
     documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER,
-    languages: tuple[str, ...] = LANGUAGES, seed: int = 7,
+    languages: tuple[str, ...] = LANGUAGES, seed: int = 7, domains: dict[str, str] | None = None, stretch: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, source, lang, n_tokens, uses), the documents of the mixture and how often each is used;
     and (source, target_share, max_repeats, tokens_available, tokens_used, share_reached, documents, most_uses).
@@ -87,10 +87,12 @@ def mixture(
     space; documents of no target source, without text or of a source with a null or non-positive share or
     max_repeats below 1 take no part. A source listed twice counts with its summed share and least max_repeats. Shares
     are scaled to sum to 1. total is the size of the mixture in tokens; by default the largest at which every source
-    that has documents reaches its share.
+    that has documents reaches its share, times stretch.
 
-    Budgets are spread from the top down a tree, source above language (in the mix a source has by itself); a branch
-    that runs short is made up for by its siblings first, by its parent's siblings after. A leaf's documents are
+    Budgets are spread from the top down a tree: domains (by source; a source in none is a domain of its own), sources,
+    languages (in the mix a source has by itself; regions such as en-GB count as their language). A branch that runs
+    short is made up for by its siblings first, then by its parent's siblings: a language by the others of its source, a
+    source by the others of its domain, a domain by the other domains. A leaf's documents are
     ordered anew by a seeded hash for each epoch. It gives all its documents as often as its budget allows, and from
     the last epoch the prefix that comes nearest to what is left, so each leaf misses its budget by half a document at
     most. A prefix is found from sums over slices of the hash; only the slice in which it ends is
@@ -101,27 +103,30 @@ def mixture(
         .where((F.col("target_share") > 0) & (F.col("max_repeats") >= 1) & ~F.isnan(F.col("target_share").cast("double")))
         .dropna().groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     )
-    lang = F.lower(trimmed("lang"))
+    lang = F.element_at(F.split(F.lower(trimmed("lang")), "[-_]"), 1)
     docs = documents.select("doc_id", F.lower(trimmed("source")).alias("source"), F.when(lang.isin(*languages), lang).otherwise("other").alias("lang"), "text")
     docs = docs.join(broadcast_if_small(goals.select("source")), "source", "left_semi").select("doc_id", "source", "lang", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    counted = docs.mapInPandas(token_counter(tokenizer), f"doc_id {kind}, source string, lang string, n_tokens bigint")
+    ranks = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
+    counted = docs.mapInPandas(token_counter(ranks), f"doc_id {kind}, source string, lang string, n_tokens bigint")
     counted = materialize(counted.where("n_tokens > 0"), "tokens")
     leaves = counted.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).toPandas()
     wanted = {r.source: r for r in goals.collect()}
     scale = sum(r.target_share for r in wanted.values()) or 1.0
-    root = Node(1.0, children={s: Node(r.target_share / scale) for s, r in wanted.items()})
+    leaf_of: dict[tuple[str, str], Node] = {}
+    root, sources = Node(1.0), {}
     for x in leaves.itertuples():
-        root.children[x.source].children[x.lang] = Node(float(x.tokens), int(x.tokens) * int(wanted[x.source].max_repeats))
-    root.children = {s: c for s, c in root.children.items() if c.children}
+        source = sources.setdefault(x.source, Node(wanted[x.source].target_share / scale))
+        leaf_of[x.source, x.lang] = source.children[x.lang] = Node(float(x.tokens), int(x.tokens) * int(wanted[x.source].max_repeats))
+    for s, node in sorted(sources.items()):
+        domain = root.children.setdefault((domains or {}).get(s, s), Node(0.0))
+        domain.weight += node.weight
+        domain.children[s] = node
     if total is None:
-        shared = sum(c.weight for c in root.children.values())
-        total = int(min((c.room() * shared / c.weight for c in root.children.values()), default=0))
+        shared = sum(c.weight for c in sources.values())
+        total = int(stretch * min((c.room() * shared / c.weight for c in sources.values()), default=0))
     allocate(root, total)
-    plan = [
-        (x.source, x.lang, leaf.budget // int(x.tokens), leaf.budget % int(x.tokens))
-        for x in leaves.itertuples() for leaf in [root.children[x.source].children[x.lang]]
-    ]
+    plan = [(s, lang, leaf.budget // int(leaf.weight), leaf.budget % int(leaf.weight)) for (s, lang), leaf in leaf_of.items()]
     chosen = _epochs(counted, plan, seed)
     return chosen, _report(counted, chosen, goals, scale)
 

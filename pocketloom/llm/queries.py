@@ -126,12 +126,55 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return leak_report(p7_found(spark, sf), table(spark, sf, "eval_items"))
 
 
+#: The kinds of text that the sources are of: what one source lacks the others of its kind make up for first.
+DOMAINS = {
+    "assay_reports": "laboratory", "lab_mail": "laboratory", "docking_logs": "computation", "preprint_notes": "literature", "target_reviews": "literature",
+    "patent_digests": "literature", "seminar_notes": "literature", "helpdesk": "service", "safety_sheets": "service",
+}
+
+
+def _mixture(spark: SparkSession, sf: str, stretch: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    return mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), domains=DOMAINS, stretch=stretch)
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+    return _mixture(spark, sf)[0]
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    return _mixture(spark, sf)[1]
+
+
+def p8_stretched_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of a mixture of twice the size that all sources can fill: some run short and others make up for them."""
+    return _mixture(spark, sf, 2.0)[1]
+
+
+def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of both mixtures: a row each with the target sources and counts of what breaks a rule: documents
+    used too often, taken twice or from nowhere, sources whose report differs from the mixture, and sources off their target (not
+    below it while tokens are left, and in the plain mixture within a point of it, or within what whole documents allow)."""
+    targets, docs = table(spark, sf, "mix_targets"), table(spark, sf, "documents").select("doc_id", F.lower(trimmed("source")).alias("own"))
+    out = []
+    for name, stretch in (("plain", 1.0), ("stretched", 2.0)):
+        chosen, report = _mixture(spark, sf, stretch)
+        chosen, report = materialize(chosen, "chosen"), materialize(report, "report")
+        most = targets.select(F.lower(trimmed("source")).alias("source"), "max_repeats")
+        over = chosen.join(most, "source").where("uses > max_repeats OR uses < 1")
+        twice = chosen.groupBy("doc_id").count().where("count > 1")
+        foreign = chosen.join(docs, (chosen["doc_id"] == docs["doc_id"]) & (chosen["source"] == docs["own"]), "left_anti")
+        sums = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("sum"))
+        differ = report.join(sums, "source", "left").where("coalesce(sum, 0) <> tokens_used OR tokens_used > tokens_available * max_repeats")
+        longest, total = chosen.agg(F.max("n_tokens"), F.sum(F.col("n_tokens") * F.col("uses"))).first()
+        near = max(0.01, 2.5 * (longest or 0) / (total or 1))  # each of five languages may miss its budget by half a document
+        off = report.where((F.col("tokens_used") < 0.98 * F.col("tokens_available") * F.col("max_repeats")) & (F.col("share_reached") < F.col("target_share") - near))
+        if stretch == 1.0:
+            off = report.where(F.abs(F.col("share_reached") - F.col("target_share")) > near)
+        broken = [(over, "over_used"), (twice, "taken_twice"), (foreign, "from_nowhere"), (differ, "reports_that_differ"), (off, "off_target")]
+        parts = [report.agg(F.count(F.lit(1)).alias("sources")), *(df.agg(F.count(F.lit(1)).alias(c)) for df, c in broken)]
+        united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        out.append(united.agg(*(F.max(c).alias(c) for c in ["sources", *(c for _, c in broken)])).select(F.lit(name).alias("mixture"), "*"))
+    return out[0].unionByName(out[1])
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +187,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p2_shares, p2_rules, p2_linked_rules, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_redacted)
+    for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p2_shares, p2_rules, p2_linked_rules, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p8_stretched_shares, p8_rules, p9_found, p9_redacted)
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8239) || chr(8201) || chr(8195) || chr(12288)"
@@ -190,6 +233,9 @@ ORACLES: dict[str, str] = {
 _SPLIT_ROWS = f"count({_trim('ligand')}) AS assigned, count(*) - count({_trim('ligand')}) AS unassigned, CAST(0 AS BIGINT) AS split_ligands"
 ORACLES["p2_rules"] = f"SELECT {_SPLIT_ROWS}, true AS on_target FROM affinity_split_manifest"
 ORACLES["p2_linked_rules"] = f"SELECT {_SPLIT_ROWS}, CAST(0 AS BIGINT) AS crossing_links, true AS on_target FROM affinity_split_manifest"
+ORACLES["p8_rules"] = f"""
+    SELECT mixture, (SELECT count(DISTINCT lower({_trim('source')})) FROM mix_targets) AS sources, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS taken_twice,
+        CAST(0 AS BIGINT) AS from_nowhere, CAST(0 AS BIGINT) AS reports_that_differ, CAST(0 AS BIGINT) AS off_target FROM (VALUES ('plain'), ('stretched')) AS m(mixture)"""
 ORACLES["p3_links"] = f"""
     WITH pairs AS ({ORACLES['p3_found']})
     SELECT ligand, count(*) AS links FROM (SELECT ligand_a AS ligand FROM pairs UNION ALL SELECT ligand_b FROM pairs) GROUP BY ligand"""

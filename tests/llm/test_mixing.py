@@ -48,3 +48,12 @@ def test_nothing_to_mix(spark):
     chosen, report = mixture(spark.createDataFrame([], DOCS), targets)
     assert chosen.collect() == [] and report.first()["share_reached"] == 0
     assert mixture(spark.createDataFrame(corpus(50), DOCS), spark.createDataFrame([], TARGETS))[0].collect() == []
+
+
+def test_a_source_that_runs_short_is_made_up_for_by_its_own_domain(spark):
+    docs = spark.createDataFrame(corpus(), DOCS)
+    targets = spark.createDataFrame([("x", 0.4, 5), ("y", 0.4, 5), ("z", 0.2, 1)], TARGETS)
+    have = {r["source"]: r["tokens_available"] for r in mixture(docs, targets)[1].collect()}
+    total = have["z"] * 8
+    used = {r["source"]: r["tokens_used"] for r in mixture(docs, targets, total, domains={"y": "d", "z": "d"})[1].collect()}
+    assert used["z"] == have["z"] and abs(used["x"] - 0.4 * total) < 200 and abs(used["y"] - (0.6 * total - have["z"])) < 200
