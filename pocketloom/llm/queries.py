@@ -16,7 +16,7 @@ from pocketloom.llm.pii import personal_information, redact
 from pocketloom.llm.setjoin import linked_texts, similar_pairs
 from pocketloom.llm.splits import FRACTIONS, assign_splits, conflicting_groups, related_groups
 from pocketloom.llm.topn import best_poses
-from pocketloom.runtime import accession, materialize, small, table, trimmed
+from pocketloom.runtime import SPACE, accession, materialize, small, table, trimmed
 
 ACTIVE = ["train", "val", "test"]
 #: Rows that share any of these are related.
@@ -185,9 +185,33 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "redacted")
 
 
+def p9_emails(spark: SparkSession, sf: str) -> DataFrame:
+    """Of p9_found the e-mail addresses that are written out plainly."""
+    text = F.col("pii_text")
+    found = p9_found(spark, sf).where((F.col("pii_type") == "EMAIL") & text.contains("@") & ~text.rlike(r"[ (\[{]"))
+    return found.select("doc_id", "pii_text")
+
+
+def p9_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: texts, cases that don't stand in their text, texts with cases but without a placeholder or the other way
+    round, and texts that redaction changes beside its placeholders."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = materialize(p9_found(spark, sf), "found")
+    both = materialize(redact(docs), "redacted")
+    flat = F.regexp_replace(F.translate("text", SPACE, " " * len(SPACE)), " +", " ")
+    strange = found.join(docs.withColumn("flat", flat), "doc_id", "left").where(~F.coalesce(F.contains("flat", "pii_text"), F.lit(False)))
+    has = both.join(found.select("doc_id", F.lit(True).alias("has")).distinct(), "doc_id", "left")
+    uneven = has.where(F.coalesce("has", F.lit(False)) != F.coalesce(F.col("redacted") != F.col("text"), F.lit(False)))
+    pattern = F.concat(F.lit("\\Q"), F.regexp_replace("redacted", r"\[(EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)\]", r"\\E[\\s\\S]+?\\Q"), F.lit("\\E"))
+    changed = both.where("redacted IS NOT NULL").where(~F.rlike("text", F.concat(F.lit("^"), pattern, F.lit("$"))))
+    parts = [both.agg(F.count("text").alias("texts")), *(df.agg(F.count(F.lit(1)).alias(c)) for df, c in ((strange, "not_in_text"), (uneven, "without_placeholder"), (changed, "changed_beside")))]
+    names = ("texts", "not_in_text", "without_placeholder", "changed_beside")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*(F.max(c).alias(c) for c in names))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p2_shares, p2_rules, p2_linked_rules, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p8_stretched_shares, p8_rules, p9_found, p9_redacted)
+    for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p2_shares, p2_rules, p2_linked_rules, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p8_stretched_shares, p8_rules, p9_found, p9_redacted, p9_emails, p9_rules)
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8239) || chr(8201) || chr(8195) || chr(12288)"
@@ -236,6 +260,22 @@ ORACLES["p2_linked_rules"] = f"SELECT {_SPLIT_ROWS}, CAST(0 AS BIGINT) AS crossi
 ORACLES["p8_rules"] = f"""
     SELECT mixture, (SELECT count(DISTINCT lower({_trim('source')})) FROM mix_targets) AS sources, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS taken_twice,
         CAST(0 AS BIGINT) AS from_nowhere, CAST(0 AS BIGINT) AS reports_that_differ, CAST(0 AS BIGINT) AS off_target FROM (VALUES ('plain'), ('stretched')) AS m(mixture)"""
+ORACLES["p9_rules"] = "SELECT count(text) AS texts, CAST(0 AS BIGINT) AS not_in_text, CAST(0 AS BIGINT) AS without_placeholder, CAST(0 AS BIGINT) AS changed_beside FROM documents"
+ORACLES["p9_emails"] = r"""
+    SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_.+%-]*@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.[A-Za-z]{2,}')) AS pii_text FROM documents"""
+
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+#: DuckDB has NFC only; these are what NFKC adds among the characters of the texts.
+_NFKC = f"replace(replace(translate(nfc_normalize(text), '{_WIDE}ªº', '{_NARROW}ao'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+
+
+def _runs(source: str, key: str) -> str:
+    listed = f"SELECT {key}, regexp_extract_all(lower({_NFKC}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}"
+    return f"(SELECT DISTINCT {key}, array_to_string(w[k:k+11], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM ({listed})))"
+
+
+ORACLES["p7_found"] = f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id')} JOIN {_runs('eval_items', 'item_id')} USING (run)"
+ORACLES["p7_items"] = f"SELECT item_id, count(doc_id) AS documents FROM eval_items LEFT JOIN ({ORACLES['p7_found']}) USING (item_id) GROUP BY item_id"
 ORACLES["p3_links"] = f"""
     WITH pairs AS ({ORACLES['p3_found']})
     SELECT ligand, count(*) AS links FROM (SELECT ligand_a AS ligand FROM pairs UNION ALL SELECT ligand_b FROM pairs) GROUP BY ligand"""
