@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "split-manifest":
         ids = normal_ids(args.uniprot_ids) if args.uniprot_ids else None
         out = {n: Path(args.out_dir) / subset_file(n, ids) for n in ("split_manifest.csv", "protein_manifest.csv", "split_manifest_report.txt")}
-        guard_outputs(out.values(), args.overwrite)
+        guard_outputs(spark, out.values(), args.overwrite)
         known = read_manifest(spark, args.global_protein_csv, PROTEIN) if args.global_protein_csv else None
         shares = {s: getattr(args, f"{s}_fraction") for s in FRACTIONS}
         split, proteins, report = split_table(
@@ -82,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_single_csv(proteins, out["protein_manifest.csv"])
         out["split_manifest_report.txt"].write_text(report, encoding="utf-8")
     elif args.command == "affinity-split-manifest":
-        guard_outputs([args.output_csv], args.overwrite)
+        guard_outputs(spark, [args.output_csv], args.overwrite)
         tables = [read_manifest(spark, p, s) for p, s in ((args.affinity_csv, AFFINITY), (args.split_csv, SPLIT), (args.protein_csv, PROTEIN))]
         write_single_csv(affinity_split_table(*tables, args.uniprot_ids or None), args.output_csv)
     elif args.command == "poses":

@@ -23,8 +23,9 @@ from pocketloom.runtime import materialize
 from pocketloom.schemas import FINGERPRINT_BITS, PREDICTION, PROTEIN
 from pocketloom.sources.experiments import MODEL, Section, data_section, load, run_folder
 from pocketloom.sources.matrices import read_matrix
-from pocketloom.sources.runs import keep_config, loss_plot, make_run_folder, write_json, write_split_outputs
-from pocketloom.sources.tables import read_csv, read_csv_checked, read_manifest, write_single_csv
+from pocketloom.sources.files import exists, read_text
+from pocketloom.sources.runs import Run, first_metric
+from pocketloom.sources.tables import read_csv, read_csv_checked, read_manifest
 
 
 def usable(affinities: DataFrame, data: Section = data_section(MODEL)) -> DataFrame:
@@ -123,48 +124,99 @@ def predict(model: PipelineModel, rows: DataFrame, moments: tuple[float, float]
     return out.select(*(c for c in PREDICTION.fieldNames() if c in out.columns))
 
 
+def epochs_tried(most: int) -> list[int]:
+    """Numbers of epochs at which a fit is looked at: 1, 2, 4 and on, and the most there may be."""
+    return sorted({most, *(1 << k for k in range(most.bit_length()) if 1 << k <= most)})
+
+
+def fitted_early(learn: DataFrame, judge: DataFrame | None, training: Section, model: Section) -> tuple[PipelineModel, PipelineModel, list[dict], tuple[float, float]]:
+    """The best fit by the monitored loss, the last one, the losses by epoch, and the moments of the target.
+
+    Fits of 1, 2, 4 ... epochs follow the same path, so each goes on where the one before stood; after each the loss on
+    judge is taken (where it has rows). Fitting ends at max_epochs, or once the monitored loss has not improved for
+    patience epochs. Train loss is known for every epoch, validation loss for those looked at.
+    """
+    moments = target_moments(learn, "true_affinity") if model.normalize_targets else (0.0, 1.0)
+    rows = materialize(features(scaled_target(learn, "true_affinity", *moments)), "learn")
+    held = materialize(features(scaled_target(judge, "true_affinity", *moments)), "judge") if judge is not None else None
+    best = last = None
+    best_loss, best_epoch, val = float("inf"), 0, {}
+    for k in epochs_tried(training.max_epochs):
+        last = regressor(k, model.normalize_protein_descriptors).fit(rows)
+        done = last.stages[-1].summary
+        error = F.col("predicted_affinity") - F.col("true_affinity")
+        val[k] = held is not None and last.transform(held).agg(F.avg(error * error)).first()[0]
+        seen = {"val_loss": val[k], "train_loss": done.objectiveHistory[-1]}
+        loss = first_metric({n: v for n, v in seen.items() if v not in (None, False)}, (training.monitor_metric, "train_loss"))
+        if loss < best_loss:
+            best, best_loss, best_epoch = last, loss, k
+        if k - best_epoch >= training.patience or done.totalIterations < k:  # no better for long, or converged
+            break
+    losses = last.stages[-1].summary.objectiveHistory
+    history = [{"epoch": i, "train_loss": x, "val_loss": val.get(i) or None} for i, x in enumerate(losses)]
+    return best, last, history, moments
+
+
 def train(spark: SparkSession, experiment: str | Path, root: str | Path = ".") -> DataFrame:
-    """Fits on train, writes the model, its loss history, and predictions and results of train and val; never of test."""
+    """Fits on train, stops early by val, and writes what the outputs section asks for: checkpoints of the best and last
+    fit, the model with all that is needed to use it, and predictions of train and val, or of these together; never of
+    test. Loss history, results and metadata are always written."""
     config = load(MODEL, experiment, root)
     if config.outputs.evaluate_test_during_training:
         raise ContractError("test is evaluated apart, never during training")
-    out = make_run_folder(config.paths.runs_dir, config.experiment_name, config.outputs.overwrite_existing_run)
-    keep_config(experiment, out)
+    run = Run.begin(spark, run_folder(config), config.outputs.overwrite_existing_run, experiment)
     affinities, matrix, proteins = _inputs(spark, config)
     rows = materialize(valid_ligands(model_rows(affinities, matrix, proteins, config.data), drop_invalid=config.data.drop_invalid_smiles), "rows")
-    learn = rows.where("split = 'train'")
-    model, moments = fitted(learn, config.training.max_epochs, config.model.normalize_protein_descriptors, config.model.normalize_targets)
-    write_json({"mean": moments[0], "deviation": moments[1]}, out / "model" / "target.json")
-    model.write().overwrite().save(str(out / "model" / "pipeline"))
-    losses = [{"epoch": i, "train_loss": x, "val_loss": None} for i, x in enumerate(model.stages[-1].summary.objectiveHistory)]
-    write_single_csv(spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_loss"]) for h in losses], "epoch int, train_loss double, val_loss double"), out / "loss_history.csv")
-    loss_plot(losses, out / "train_val_loss.png")
-    shown = [s for s in config.data.active_splits if s != "test"]
-    done = _judged(predict(model, rows.where(F.col("split").isin(*shown)), moments), shown, out)
+    judge = rows.where("split = 'val'") if "val" in config.data.active_splits else None
+    best, last, losses, moments = fitted_early(rows.where("split = 'train'"), judge, config.training, config.model)
     facts = summary(rows).first().asDict()
-    write_json({"experiment_name": config.experiment_name, "active_splits": list(config.data.active_splits), "data": config.data, **facts}, out / "run_metadata.json")
+    state = {"mean": moments[0], "deviation": moments[1], "columns": config.data, "active_splits": list(config.data.active_splits), "descriptor_length": facts["x_d_dim"], "fingerprint_bits": FINGERPRINT_BITS}
+    if config.outputs.save_checkpoints:
+        for name, model in (("best", best), ("last", last)):
+            model.write().overwrite().save(run.path("checkpoints", name))
+        run.json("checkpoints/target.json", state)
+    if config.outputs.save_model_state_dict:
+        best.write().overwrite().save(run.path("model", "pipeline"))
+        run.json("model/target.json", state)
+    run.table("loss_history.csv", spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_loss"]) for h in losses], "epoch int, train_loss double, val_loss double").coalesce(1).orderBy("epoch"))
+    run.losses("train_val_loss.png", losses)
+    shown = [s for s in config.data.active_splits if s != "test"]
+    done = _judged(run, predict(best, rows.where(F.col("split").isin(*shown)), moments), shown, rows, config.outputs)
+    run.json("run_metadata.json", {"experiment_name": config.experiment_name, "active_splits": list(config.data.active_splits), "data": config.data, "epochs": len(losses) - 1, **facts})
     return done
 
 
 def evaluate_test(spark: SparkSession, experiment: str | Path, model: str | Path | None = None, root: str | Path = ".") -> Path:
-    """Predictions and results of test by a kept model, in a new folder named by the time."""
+    """Predictions and results of test by a kept model (the run's own, else its best checkpoint), in a new folder named
+    by the time."""
     config = load(MODEL, experiment, root, check_run=False)
     folder = run_folder(config)
-    path = Path(model) if model else folder / "model" / "pipeline"
-    kept, scale = PipelineModel.load(str(path)), json.loads((path.parent / "target.json").read_text(encoding="utf-8"))
+    found = [p for p in (f"{folder}/model/pipeline", f"{folder}/checkpoints/best") if exists(spark, p)]
+    if model is None and not found:
+        raise FileNotFoundError(f"{folder} holds no model")
+    path = str(model or found[0])
+    kept, state = PipelineModel.load(path), json.loads(read_text(spark, f"{path.rsplit('/', 1)[0]}/target.json"))
     affinities, matrix, proteins = _inputs(spark, config)
     rows = valid_ligands(model_rows(affinities, matrix, proteins, config.data, require_val=False), drop_invalid=config.data.drop_invalid_smiles)
+    test = materialize(rows.where("split = 'test'"), "test")
+    if test.where(F.size("descriptor") != state["descriptor_length"]).limit(1).count():
+        raise ContractError(f"the model was fitted with descriptors of length {state['descriptor_length']}")
     out = folder / time.strftime("test_evaluation_%Y%m%d_%H%M%S")
-    out.mkdir(parents=True)
-    _judged(predict(kept, rows.where("split = 'test'"), (scale["mean"], scale["deviation"])), ["test"], out)
+    _judged(Run.begin(spark, out), predict(kept, test, (state["mean"], state["deviation"])), ["test"], test)
     return out
 
 
-def _judged(rows: DataFrame, splits: list[str], out: Path) -> DataFrame:
-    rows = materialize(rows, "predictions")
-    by = {r["split"]: {k: r[k] for k in ("num_examples", "pearson_r", "rmse", "mae")} for r in metrics_by(rows, ["split"]).collect()}
-    write_split_outputs(rows, by, splits, out, ["protein_idx", "ligand_idx"], skip_empty=False)
-    return rows
+def _judged(run: Run, predictions: DataFrame, splits: list[str], rows: DataFrame, outputs: Section | None = None) -> DataFrame:
+    """Predictions, which must be as many as the rows of their splits, written as the outputs section says."""
+    predictions = materialize(predictions, "predictions")
+    wanted = rows.where(F.col("split").isin(*splits)).count()
+    if predictions.count() != wanted:
+        raise ContractError(f"{predictions.count()} predictions for {wanted} rows")
+    by = {r["split"]: {k: r[k] for k in ("num_examples", "pearson_r", "rmse", "mae")} for r in metrics_by(predictions, ["split"]).collect()}
+    run.split_outputs(predictions, by, splits, ["protein_idx", "ligand_idx"], skip_empty=False, tables=outputs is None or outputs.save_train_val_predictions)
+    if outputs is not None and outputs.save_predictions_all:
+        run.table("predict_vs_true_affinity_all.csv", predictions.orderBy("split", "protein_idx", "ligand_idx"))
+    return predictions
 
 
 def recorded_predictions(spark: SparkSession, path: str) -> DataFrame:

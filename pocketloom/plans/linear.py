@@ -14,8 +14,8 @@ from pocketloom.operators.metrics import fitted_line, metrics_by, with_predictio
 from pocketloom.operators.ranking import minimum_scores
 from pocketloom.runtime import materialize
 from pocketloom.schemas import LINEAR_OUTPUT
-from pocketloom.sources.experiments import LINEAR, Section, data_section, load
-from pocketloom.sources.runs import keep_config, make_run_folder, write_json, write_split_outputs
+from pocketloom.sources.experiments import LINEAR, Section, data_section, load, run_folder
+from pocketloom.sources.runs import Run
 from pocketloom.sources.tables import read_csv
 
 
@@ -55,11 +55,11 @@ def evaluate(
     config = load(LINEAR, experiment, root) if experiment is not None else None
     data = config.data if config else data_section(LINEAR)
     if config is not None:
-        out = make_run_folder(config.paths.runs_dir, config.experiment_name, config.outputs.overwrite_existing_run)
-        keep_config(experiment, out)
+        out = run_folder(config)
         poses, affinities = config.paths.pose_csv, config.paths.affinity_split_csv
     if poses is None or affinities is None or out is None:
         raise ContractError("give an experiment, or poses, affinities and out")
+    run = Run.begin(spark, out, config is None or config.outputs.overwrite_existing_run, experiment)
     left, right = read_csv(spark, affinities), read_csv(spark, poses)
     if right.select("uniprot_id", "ligand", "glide_score").dropna().isEmpty():
         raise ContractError("the pose table has no scored poses")
@@ -74,11 +74,13 @@ def evaluate(
     by = {r["split"]: {"num_examples": r["num_examples"], "pearson_r": r["pearson_r"]} for r in metrics_by(rows, ["split"]).collect()}
     ordered = {s: {"pearson_r": v["pearson_r"], "num_examples": v["num_examples"], "slope": slope, "intercept": intercept} for s, v in by.items()}
     texts = {s: {k: v[k] for k in ("num_examples", "pearson_r", "slope", "intercept")} for s, v in ordered.items()}
-    write_split_outputs(rows, texts, data.active_splits, Path(out), ["uniprot_id", "ligand"], skip_empty=True)
+    run.split_outputs(rows, texts, data.active_splits, ["uniprot_id", "ligand"], skip_empty=True)
+    if config is not None and config.outputs.save_predictions_all:
+        run.table("predict_vs_true_affinity_all.csv", rows.orderBy("split", "uniprot_id", "ligand"))
     if config is not None:
         meta = {
             "experiment_name": config.experiment_name, "include_uniprot_ids": list(data.include_uniprot_ids), "active_splits": list(data.active_splits),
             "slope": slope, "intercept": intercept, **{f"num_{s}": sizes.get(s, 0) for s in ("train", "val", "test")},
         }
-        write_json(meta, Path(out) / "run_metadata.json")
+        run.json("run_metadata.json", meta)
     return rows

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pocketloom.sources.files import delete
+
 #: Rows and bytes up to which a table may be broadcast.
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
@@ -55,20 +57,14 @@ def discard(df: DataFrame | None) -> None:
     """Deletes what materialize() wrote for df; only for tables that nothing reads any more."""
     path = getattr(df, "_pocketloom_path", None)
     if path and path in _made:
-        _delete(_made.pop(path), path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(_made.pop(path), path)
 
 
 @atexit.register
 def _sweep() -> None:
     for path, spark in list(_made.items()):
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may have ended before
             pass
 

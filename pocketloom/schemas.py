@@ -4,34 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+STRING, INT, DOUBLE, BOOLEAN = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in text.split(","))])
+def _struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
 # The columns of the tables, in their order, and the defaults of the pipeline.
-RAW_BINDING = _struct("uniprot_id string, smiles string, binding_affinity double, pIC50 double")
-AFFINITY = _struct("uniprot_id string, ligand string, affinity double")
-SPLIT = _struct("ligand string, ligand_idx int, split string")
-PROTEIN = _struct("uniprot_id string, protein_idx int")
-SEQUENCE = _struct("protein_idx int, sequence string")
-AFFINITY_SPLIT = _struct("uniprot_id string, protein_idx int, ligand string, ligand_idx int, affinity double, split string")
+RAW_BINDING = _struct(uniprot_id=STRING, smiles=STRING, binding_affinity=DOUBLE, pIC50=DOUBLE)
+AFFINITY = _struct(uniprot_id=STRING, ligand=STRING, affinity=DOUBLE)
+SPLIT = _struct(ligand=STRING, ligand_idx=INT, split=STRING)
+PROTEIN = _struct(uniprot_id=STRING, protein_idx=INT)
+SEQUENCE = _struct(protein_idx=INT, sequence=STRING)
+AFFINITY_SPLIT = _struct(uniprot_id=STRING, protein_idx=INT, ligand=STRING, ligand_idx=INT, affinity=DOUBLE, split=STRING)
 POSE = _struct(
-    "pose_id string, pose_hash string, pdb_key string, ligand string, grid string, uniprot_id string, pdb_id string, "
-    "glide_score double, pose_rank int, is_top_rank boolean, source_sdf string"
+    pose_id=STRING, pose_hash=STRING, pdb_key=STRING, ligand=STRING, grid=STRING, uniprot_id=STRING,
+    pdb_id=STRING, glide_score=DOUBLE, pose_rank=INT, is_top_rank=BOOLEAN, source_sdf=STRING,
 )
 POSE_DUPLICATE = _struct(
-    "pose_id string, pose_hash string, source_sdf string, pdb_key string, ligand string, glide_score double, pose_rank int, "
-    "exists_in_manifest boolean, exists_in_lmdb boolean"
+    pose_id=STRING, pose_hash=STRING, source_sdf=STRING, pdb_key=STRING, ligand=STRING, glide_score=DOUBLE,
+    pose_rank=INT, exists_in_manifest=BOOLEAN, exists_in_lmdb=BOOLEAN,
 )
 PREDICTION = _struct(
-    "uniprot_id string, protein_idx int, ligand string, ligand_idx int, split string, true_affinity double, predicted_affinity double, "
-    "abs_error double, squared_error double"
+    uniprot_id=STRING, protein_idx=INT, ligand=STRING, ligand_idx=INT, split=STRING, true_affinity=DOUBLE,
+    predicted_affinity=DOUBLE, abs_error=DOUBLE, squared_error=DOUBLE,
 )
-LINEAR_OUTPUT = _struct("uniprot_id string, ligand string, split string, min_glide_score double, true_affinity double, predicted_affinity double")
+LINEAR_OUTPUT = _struct(uniprot_id=STRING, ligand=STRING, split=STRING, min_glide_score=DOUBLE, true_affinity=DOUBLE, predicted_affinity=DOUBLE)
 
 ACTIVE_SPLITS = ("train", "val", "test")
 ALL_SPLITS = (*ACTIVE_SPLITS, "dropped")

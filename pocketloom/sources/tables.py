@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pocketloom.functions.nulls import lenient_double, present, strict_double
 from pocketloom.operators.contracts import ContractError, require_columns
+from pocketloom.sources.files import delete, exists, joined, move, names
 
 #: Quotes are doubled within quoted fields; backslashes are plain characters, as SMILES have them.
 CSV = {"header": "true", "escape": '"', "quote": '"', "inferSchema": "false"}
@@ -52,11 +53,6 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType, strict:
     return df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def read_evolving(spark: SparkSession, path: str, schema: T.StructType, addable: dict[str, object]) -> DataFrame:
     """A table that may be absent (then empty) or lack just the columns of addable, which get the value given there.
     Lacking any other column is an error."""
@@ -70,9 +66,9 @@ def read_evolving(spark: SparkSession, path: str, schema: T.StructType, addable:
     return typed(raw, schema)
 
 
-def guard_outputs(paths: Iterable[str | Path], overwrite: bool) -> None:
-    """Fails, naming all, if any output exists and may not be replaced."""
-    there = [str(p) for p in paths if Path(p).exists()]
+def guard_outputs(spark: SparkSession, paths: Iterable[str | Path], overwrite: bool) -> None:
+    """Fails, naming all, if any output exists, on whatever file system, and may not be replaced."""
+    there = [str(p) for p in paths if exists(spark, p)]
     if there and not overwrite:
         raise FileExistsError(f"outputs exist already: {', '.join(there)}; allow overwriting to replace them")
 
@@ -82,50 +78,42 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return str(path)
 
 
-def _paths(spark: SparkSession, *paths: str):
-    every = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(p)) for p in paths]
-    return every[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), every
-
-
 def replace_parquet(df: DataFrame, path: str) -> str:
     """Writes df beside the table at path and then puts it in its place, so that a run that breaks off leaves the old
     table, at path or at path.old. df may read path."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
-    fs, (new, now, old) = _paths(spark, f"{path}.new", path, f"{path}.old")
-    if fs.exists(now):
-        fs.delete(old, True)
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
+    if exists(spark, path):
+        move(spark, path, f"{path}.old")
+    move(spark, f"{path}.new", path)
+    delete(spark, f"{path}.old")
     return str(path)
 
 
 def recover(spark: SparkSession, path: str) -> None:
     """Undoes a replacement that broke off between its two steps."""
-    fs, (now, old) = _paths(spark, path, f"{path}.old")
-    if not fs.exists(now) and fs.exists(old):
-        fs.rename(old, now)
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        move(spark, f"{path}.old", path)
+
+
+_CSV_OUT = {"escape": '"', "quote": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_csv(df: DataFrame, path: str) -> str:
     """A folder of CSV parts with headers, replaced if there; for edges of the pipeline, in as many parts as tasks."""
-    df.write.mode("overwrite").options(header="true", escape='"', quote='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(str(path))
+    df.write.mode("overwrite").options(**_CSV_OUT | {"header": "true", "emptyValue": '""'}).csv(str(path))
     return str(path)
 
 
-def write_single_csv(df: DataFrame, path: str | Path) -> Path:
-    """One CSV file, streamed through the driver row by row in the order of df; for small results."""
-    import csv
-
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(df.columns)
-        for row in df.toLocalIterator():
-            out.writerow(["" if v is None else v for v in row])
-    return path
+def write_single_csv(df: DataFrame, path: str | Path) -> str:
+    """One CSV file, in the order of df. The tasks write parts beside it, which are then joined byte by byte; no row
+    passes through Python."""
+    spark, parts = df.sparkSession, f"{path}.parts"
+    df.write.mode("overwrite").options(**_CSV_OUT | {"header": "false"}).csv(parts)
+    head = ",".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if set(c) & set(',"\n\r') else c for c in df.columns)
+    joined(spark, head + "\n", (f"{parts}/{n}" for n in names(spark, parts) if n.startswith("part-")), path)
+    delete(spark, parts)
+    return str(path)
 
 
 def append_parquet(df: DataFrame, path: str) -> str:

@@ -1,5 +1,4 @@
 import json
-import math
 
 import numpy as np
 import pytest
@@ -31,8 +30,8 @@ def test_csv_scan_and_sinks(spark, tmp_path):
     tables.append_parquet(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
     with pytest.raises(FileExistsError, match="a.csv"):
-        tables.guard_outputs([tmp_path / "a.csv", tmp_path / "new"], False)
-    tables.guard_outputs([tmp_path / "a.csv"], True)
+        tables.guard_outputs(spark, [tmp_path / "a.csv", tmp_path / "new"], False)
+    tables.guard_outputs(spark, [tmp_path / "a.csv"], True)
 
 
 def test_strict_types_fail_and_lenient_ones_do_not(spark, tmp_path):
@@ -161,6 +160,22 @@ def test_train_and_evaluate(spark, tmp_path):
         affinity_model.train(spark, path, tmp_path)
 
 
+def test_training_stops_early_and_writes_what_is_asked_for(spark, tmp_path):
+    path, config = write_inputs(tmp_path)
+    lines = [f"P22222,1,{'C' * (i % 9 + 3)}{'NO'[i % 2]},{i},{5 + i % 9 / 3},{'train' if i % 4 else 'val'}" for i in range(60)]
+    (tmp_path / "affinity.csv").write_text("\n".join(["uniprot_id,protein_idx,ligand,ligand_idx,affinity,split", *lines]) + "\n")
+    outputs = {"save_train_val_predictions": False, "save_model_state_dict": False, "save_predictions_all": True}
+    path.write_text(json.dumps(config | {"training": {"max_epochs": 40, "patience": 4}, "outputs": outputs}))
+    affinity_model.train(spark, path, tmp_path)
+    run = tmp_path / "runs" / "unit"
+    assert not (run / "predict_vs_true_affinity_val.csv").exists() and not (run / "model").exists() and (run / "results_val.txt").exists()
+    assert (run / "predict_vs_true_affinity_all.csv").read_text().count("\n") == 61 and (run / "checkpoints" / "best").is_dir() and (run / "checkpoints" / "last").is_dir()
+    losses = [x.split(",") for x in (run / "loss_history.csv").read_text().splitlines()[1:]]
+    assert [int(x[0]) for x in losses] == list(range(len(losses))) and losses[1][2] != "" and all(x[1] for x in losses)
+    assert json.loads((run / "checkpoints" / "target.json").read_text())["descriptor_length"] == 3
+    assert affinity_model.epochs_tried(50) == [1, 2, 4, 8, 16, 32, 50]
+
+
 def test_usable_rows(spark):
     data = [("p", "1.0", " C ", "0", "5", "train"), ("p", "1.5", "C", "0", "5", "train"), ("p", "-1", "C", "0", "5", "train"), ("p", "1", " ", "0", "5", "train"), ("p", "1", "C", "0", "x", "train"), ("p", "1", "C", "0", "5", "dropped"), ("p", "1", None, "0", "5", "val")]
     got = affinity_model.usable(spark.createDataFrame(data, "uniprot_id string, protein_idx string, ligand string, ligand_idx string, affinity string, split string"))
@@ -221,23 +236,24 @@ def test_experiment_files(tmp_path):
         experiments.load(experiments.MODEL, path, tmp_path)
 
 
-def test_run_folders_and_plots(tmp_path):
-    folder = runs.make_run_folder(tmp_path, "r")
-    assert (folder / "checkpoints").is_dir() and runs.make_run_folder(tmp_path, "r", True) == folder
+def test_run_folders_and_plots(spark, tmp_path):
+    path, _ = write_inputs(tmp_path)
+    run = runs.Run.begin(spark, tmp_path / "r", settings=path)
+    assert (tmp_path / "r" / "experiment.json").read_text() == path.read_text()
+    runs.Run.begin(spark, tmp_path / "r", True)
     (tmp_path / "file").write_text("x")
     for name, over in (("r", False), ("file", True)):
         with pytest.raises(FileExistsError):
-            runs.make_run_folder(tmp_path, name, over)
-    assert json.loads(runs.write_json({"b": tmp_path, "a": experiments.build(experiments.LINEAR).outputs}, folder / "x.json").read_text())["b"] == str(tmp_path)
-    kept = runs.keep_checkpoint(tmp_path / "file", folder / "model" / "best")
-    assert runs.keep_checkpoint(kept, kept).read_text() == "x"
+            runs.Run.begin(spark, tmp_path / name, over)
+    run.json("x.json", {"b": tmp_path, "a": experiments.build(experiments.LINEAR).outputs})
+    assert json.loads((tmp_path / "r" / "x.json").read_text())["b"] == str(tmp_path)
     with pytest.raises(ContractError):
-        runs.loss_plot([], tmp_path / "x.png")
-    history = [{"epoch": 0, "train_loss": 1.2, "val_loss": 1.5}, {"epoch": 1, "train_loss": 0.8, "val_loss": 1.0}]
-    made = runs.loss_plot(history, tmp_path / "x.png")
-    assert made is None or made.stat().st_size > 0
+        run.losses("x.png", [])
+    made = run.losses("x.png", [{"epoch": 0, "train_loss": 1.2, "val_loss": 1.5}, {"epoch": 1, "train_loss": 0.8, "val_loss": 1.0}])
+    assert made is None or (tmp_path / "r" / "x.png").stat().st_size > 0
     assert runs.first_metric({"a": None, "b": 2}, ("a", "b")) == 2.0 and runs.first_metric({}, ("a",)) is None
-    assert math.isnan(float("nan"))
+    cells = runs.by_cell(spark.range(5000).selectExpr("id / 7.0 AS x", "id % 10 / 1.0 AS y"), "x", "y", 10)
+    assert cells.count() <= 100 and cells.agg({"n": "sum"}).first()[0] == 5000
 
 
 def test_docking_tables(spark, tmp_path):
