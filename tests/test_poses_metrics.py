@@ -62,6 +62,46 @@ def test_ingest_is_repeatable(spark, tmp_path):
     assert spark.read.parquet(paths[0]).count() == 2 == spark.read.parquet(paths[1]).count() and spark.read.parquet(paths[2]).count() == 2
 
 
+def test_duplicates_are_found_in_the_store_too_and_only_touched_buckets_change(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("manifest", "graphs", "duplicates")]
+    first = [("s1", i, "C" * (i + 1), "9A_P1", -6.0, float(i)) for i in range(6)]
+    ingest(docked(spark, first), *paths)
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "manifest").rglob("part-*")}
+    assert len(stamps) == len({p.parent for p in stamps}) >= 4
+    table = ingest(docked(spark, [("s2", 0, "CC", "9A_P1", -9.0, 1.0), ("s2", 1, "CC", "9A_P1", -7.0, 99.0)]), *paths)
+    assert {(r["ligand"], r["pose_rank"], r["glide_score"]) for r in table.where("ligand = 'CC'").collect()} == {("CC", 1, -7.0), ("CC", 2, -6.0)} and table.count() == 7
+    assert sum(p in stamps and p.stat().st_mtime_ns == stamps[p] for p in (tmp_path / "manifest").rglob("part-*")) == len(stamps) - 1
+    log = spark.read.parquet(paths[2]).collect()
+    assert [(r["source_sdf"], r["exists_in_manifest"], r["exists_in_lmdb"], r["pose_rank"]) for r in log] == [("s2", True, True, 2)]
+    store = docked(spark, [("x", 0, "CN", "9A_P1", -1.0, 5.0)])
+    log = merged(spark.createDataFrame([], POSE), store, store.select("pose_id"))[1].collect()
+    assert [(r["exists_in_manifest"], r["exists_in_lmdb"], r["pose_rank"]) for r in log] == [(False, True, None)]
+
+
+def test_a_batch_that_broke_off_is_finished_or_dropped(spark, tmp_path, monkeypatch):
+    from pocketloom.plans import poses
+
+    paths = [str(tmp_path / n) for n in ("manifest", "graphs", "duplicates")]
+    batch = [("s1", 0, "CC", "9A_P1", -6.0, 2.0), ("s1", 1, "CO", "9A_P1", -1.0, 3.0), ("s2", 0, "CC", "9A_P1", -6.0, 2.0)]
+    whole, moves = poses.move, []
+
+    def breaks(spark, source, target):
+        if len(moves) == 2 and "stage" in str(source):
+            raise OSError("gone")
+        moves.append(source)
+        whole(spark, source, target)
+
+    monkeypatch.setattr(poses, "move", breaks)
+    with pytest.raises(OSError):
+        ingest(docked(spark, batch), *paths)
+    monkeypatch.setattr(poses, "move", whole)
+    poses.recover_ingest(spark, *paths)
+    assert spark.read.parquet(paths[0]).count() == 2 == spark.read.parquet(paths[1]).count() and spark.read.parquet(paths[2]).count() == 1
+    (tmp_path / "manifest.stage" / "poses" / "bucket=1").mkdir(parents=True)
+    poses.recover_ingest(spark, *paths)
+    assert not (tmp_path / "manifest.stage").exists() and spark.read.parquet(paths[0]).count() == 2
+
+
 def test_stream_of_docked_poses(spark, tmp_path):
     from pocketloom.streaming.poses import start_ingest
 
