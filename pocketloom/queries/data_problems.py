@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pocketloom.operators.heavy_keys import heavy_keys, per_key_summary
 from pocketloom.operators.references import Lifetime, find_orphans, orphan_report
+from pocketloom.queries.sql import trim
 from pocketloom.runtime import accession, table, trimmed
 
 
@@ -51,13 +52,6 @@ def p5_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_summary)}
 
-_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8239) || chr(8201) || chr(8195) || chr(12288)"
-
-
-def _trim(column: str) -> str:
-    return f"nullif(trim({column}, {_SPACE}), '')"
-
-
 def _reference(source: str, field: str, key: str, target: str, target_key: str, life: str) -> str:
     return f"""
         SELECT '{source}' AS src_table, '{field}' AS ref_field, r.row_id, r.recorded_at FROM {source} AS r
@@ -67,20 +61,20 @@ def _reference(source: str, field: str, key: str, target: str, target_key: str,
 _LIFE = "t.added_at <= r.recorded_at AND (t.retired_at IS NULL OR t.retired_at > r.recorded_at)"
 _ORPHANS = " UNION ALL ".join(
     [
-        *(_reference(s, "uniprot_id", f"upper({_trim('r.uniprot_id')})", "protein_manifest", f"upper({_trim('t.uniprot_id')})", _LIFE) for s in ("affinity_manifest", "affinity_split_manifest", "pose_manifest")),
+        *(_reference(s, "uniprot_id", f"upper({trim('r.uniprot_id')})", "protein_manifest", f"upper({trim('t.uniprot_id')})", _LIFE) for s in ("affinity_manifest", "affinity_split_manifest", "pose_manifest")),
         _reference("affinity_split_manifest", "protein_idx", "r.protein_idx", "protein_manifest", "t.protein_idx", _LIFE),
-        _reference("pose_manifest", "ligand", _trim("r.ligand"), f"(SELECT {_trim('ligand')} AS ligand, min(recorded_at) AS seen FROM affinity_manifest GROUP BY 1)", "t.ligand", "t.seen <= r.recorded_at"),
+        _reference("pose_manifest", "ligand", trim("r.ligand"), f"(SELECT {trim('ligand')} AS ligand, min(recorded_at) AS seen FROM affinity_manifest GROUP BY 1)", "t.ligand", "t.seen <= r.recorded_at"),
     ]
 )
 ORACLES = {
     "p4_found": f"SELECT src_table, ref_field, row_id FROM ({_ORPHANS})",
     "p4_report": f"SELECT src_table, ref_field, strftime(recorded_at, '%Y-%m') AS month, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
     "p5_found": f"""
-        WITH c AS (SELECT upper({_trim('uniprot_id')}) AS uniprot_id, count(*) AS n FROM affinity_manifest WHERE {_trim('uniprot_id')} IS NOT NULL GROUP BY 1)
+        WITH c AS (SELECT upper({trim('uniprot_id')}) AS uniprot_id, count(*) AS n FROM affinity_manifest WHERE {trim('uniprot_id')} IS NOT NULL GROUP BY 1)
         SELECT uniprot_id FROM c WHERE n * 100 >= 2 * (SELECT sum(n) FROM c)""",
     "p5_summary": f"""
-        SELECT upper({_trim('uniprot_id')}) AS uniprot_id, count(*) AS rows, count(DISTINCT {_trim('ligand')}) AS items,
+        SELECT upper({trim('uniprot_id')}) AS uniprot_id, count(*) AS rows, count(DISTINCT {trim('ligand')}) AS items,
             count(*) FILTER (affinity IS NOT NULL AND NOT isnan(affinity)) AS n_values,
             round(median(affinity) FILTER (affinity IS NOT NULL AND NOT isnan(affinity)), 6) AS median
-        FROM affinity_manifest WHERE {_trim('uniprot_id')} IS NOT NULL GROUP BY 1""",
+        FROM affinity_manifest WHERE {trim('uniprot_id')} IS NOT NULL GROUP BY 1""",
 }

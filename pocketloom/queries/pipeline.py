@@ -5,17 +5,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pocketloom.functions.chemistry import plain_canonical_or_null, sign_bits
-from pocketloom.functions.hashing import text_hash
+from pocketloom.functions.hashing import membership_digest, pose_hash, text_hash
 from pocketloom.functions.ids import grid_parts, pdb_key, pose_id, variant_ligand
 from pocketloom.functions.nulls import lenient_double, no_nan, strict_double, whole_number
 from pocketloom.functions.sequences import normal_sequence, truncated
 from pocketloom.operators import greedy
 from pocketloom.operators.balance import balance_penalty, protein_stats, worst_deviation
-from pocketloom.operators.contracts import coverage_gaps, duplicate_keys, index_mismatches, sequence_violations, split_violations, with_duplicate_flag
+from pocketloom.operators.contracts import ContractError, assert_index_agrees, assert_sequences, assert_unique, coverage_gaps, duplicate_keys, index_mismatches, sequence_violations, split_violations, with_duplicate_flag
 from pocketloom.operators.embeddings import mean_pooled, standard_moments, standardized, with_descriptors
 from pocketloom.operators.lookups import dense_index, index_from_dictionary, matched, unmatched, with_batches, with_round_robin
 from pocketloom.operators.metrics import fit_line, metrics_by, with_errors
@@ -27,6 +28,7 @@ from pocketloom.plans.linear import examples, predictions
 from pocketloom.plans.manifests import affinity_split_table, annotated
 from pocketloom.plans.poses import merged
 from pocketloom.runtime import accession, materialize, scratch_dir, table, trimmed
+from pocketloom.queries.sql import trim
 from pocketloom.schemas import ALL_SPLITS
 from pocketloom.sources.tables import read_csv_checked, typed, write_csv
 
@@ -44,24 +46,17 @@ def query(sql: str | None = None):
     return keep
 
 
-_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8239) || chr(8201) || chr(8195) || chr(12288)"
-
-
-def _trim(c: str) -> str:
-    return f"nullif(trim({c}, {_BLANK}), '')"
-
-
 _NUM = "(CASE WHEN isnan({0}) THEN NULL ELSE {0} END)"
 _LABELS = "(SELECT DISTINCT lower(label) AS label, split AS named FROM split_labels)"
 #: Rated rows with their keys and splits put in normal form.
 _RATED = f"""
     rated AS (
-        SELECT row_id, upper({_trim('uniprot_id')}) AS uniprot_id, protein_idx, {_trim('ligand')} AS ligand, ligand_idx, named AS split,
+        SELECT row_id, upper({trim('uniprot_id')}) AS uniprot_id, protein_idx, {trim('ligand')} AS ligand, ligand_idx, named AS split,
             {_NUM.format('affinity')} AS affinity
-        FROM affinity_split_manifest LEFT JOIN {_LABELS} ON lower({_trim('split')}) = label)"""
+        FROM affinity_split_manifest LEFT JOIN {_LABELS} ON lower({trim('split')}) = label)"""
 _POSES = f"""
     poses AS (
-        SELECT row_id, pose_id, source_sdf, pdb_key, upper({_trim('uniprot_id')}) AS uniprot_id, {_trim('ligand')} AS ligand, {_NUM.format('glide_score')} AS glide_score, recorded_at
+        SELECT row_id, pose_id, source_sdf, pdb_key, upper({trim('uniprot_id')}) AS uniprot_id, {trim('ligand')} AS ligand, {_NUM.format('glide_score')} AS glide_score, recorded_at
         FROM pose_manifest)"""
 
 
@@ -169,11 +164,15 @@ _WHOLE = f"""{_OLD}, {_INCOMING},
         source_sdf NULLS LAST, pose_id) AS INTEGER) AS pose_rank FROM whole)"""
 
 
+#: Graphs are stored of what was recorded before this day.
+_STORED = "2024-06-01"
+
+
 def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     poses = table(spark, sf, "pose_manifest").where("pose_id IS NOT NULL").withColumn("mol_index", F.col("row_id").cast("int"))
-    old = first_wins(poses.where(F.col("recorded_at") < _DAY), "pose_id", ["source_sdf", "mol_index"])[0]
+    old = materialize(first_wins(poses.where(F.col("recorded_at") < _DAY), "pose_id", ["source_sdf", "mol_index"])[0], "old")
     new = poses.where((F.col("recorded_at") >= _DAY) | F.col("recorded_at").isNull())
-    return merged(old, new)
+    return merged(old, new, old.where(F.col("recorded_at") < _STORED))
 
 
 @query(f"WITH {_WHOLE} SELECT * FROM ranked")
@@ -181,10 +180,11 @@ def incremental_ingest(spark, sf):
     return _merged(spark, sf)[0].select("pose_id", "pose_rank")
 
 
-@query(f"""WITH {_WHOLE} SELECT i.pose_id, i.source_sdf, r.pose_rank, CAST(true AS BOOLEAN) AS exists_in_manifest
+@query(f"""WITH {_WHOLE} SELECT i.pose_id, i.source_sdf, r.pose_rank, CAST(true AS BOOLEAN) AS exists_in_manifest,
+        i.pose_id NOT IN (SELECT pose_id FROM old WHERE recorded_at >= '{_STORED}') AS exists_in_lmdb
     FROM incoming AS i JOIN ranked AS r USING (pose_id) WHERE i.n > 1 OR i.pose_id IN (SELECT pose_id FROM old)""")
 def duplicate_log(spark, sf):
-    return _merged(spark, sf)[1].select("pose_id", "source_sdf", "pose_rank", "exists_in_manifest")
+    return _merged(spark, sf)[1].select("pose_id", "source_sdf", "pose_rank", "exists_in_manifest", "exists_in_lmdb")
 
 
 @query("SELECT uniprot_id, ligand, count(*) AS count FROM affinity_manifest GROUP BY 1, 2 HAVING count(*) > 1")
@@ -197,18 +197,18 @@ def repeated_rows(spark, sf):
     return with_duplicate_flag(table(spark, sf, "affinity_manifest"), ["uniprot_id", "ligand"]).select("row_id", "is_duplicate")
 
 
-@query(f"SELECT row_id, ligand AS raw_smiles, {_trim('ligand')} AS ligand, {_NUM.format('affinity')} AS affinity FROM affinity_manifest")
+@query(f"SELECT row_id, ligand AS raw_smiles, {trim('ligand')} AS ligand, {_NUM.format('affinity')} AS affinity FROM affinity_manifest")
 def annotated_ligands(spark, sf):
     rows = table(spark, sf, "affinity_manifest").select("row_id", F.col("ligand").alias("smiles"), F.col("affinity").alias("pIC50"))
     return annotated(rows, trimmed).select("row_id", "raw_smiles", "ligand", "affinity")
 
 
-@query(f"SELECT ligand, CAST(row_number() OVER (ORDER BY ligand) - 1 AS INTEGER) AS ligand_idx FROM (SELECT DISTINCT {_trim('ligand')} AS ligand FROM affinity_manifest) WHERE ligand IS NOT NULL")
+@query(f"SELECT ligand, CAST(row_number() OVER (ORDER BY ligand) - 1 AS INTEGER) AS ligand_idx FROM (SELECT DISTINCT {trim('ligand')} AS ligand FROM affinity_manifest) WHERE ligand IS NOT NULL")
 def ligand_index(spark, sf):
     return dense_index(table(spark, sf, "affinity_manifest").select(trimmed("ligand").alias("ligand")), "ligand", "ligand_idx")
 
 
-_PROTEINS = f"proteins AS (SELECT DISTINCT upper({_trim('uniprot_id')}) AS uniprot_id, protein_idx FROM protein_manifest WHERE {_trim('uniprot_id')} IS NOT NULL)"
+_PROTEINS = f"proteins AS (SELECT DISTINCT upper({trim('uniprot_id')}) AS uniprot_id, protein_idx FROM protein_manifest WHERE {trim('uniprot_id')} IS NOT NULL)"
 
 
 def _proteins(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +223,7 @@ def protein_index(spark, sf):
 
 
 _PAIRS = """pairs AS (SELECT uniprot_id, ligand, round(avg(affinity), 6) AS affinity FROM (
-        SELECT upper({u}) AS uniprot_id, {l} AS ligand, {a} AS affinity FROM affinity_manifest) WHERE uniprot_id IS NOT NULL AND ligand IS NOT NULL GROUP BY 1, 2)""".format(u=_trim("uniprot_id"), l=_trim("ligand"), a=_NUM.format("affinity"))
+        SELECT upper({u}) AS uniprot_id, {l} AS ligand, {a} AS affinity FROM affinity_manifest) WHERE uniprot_id IS NOT NULL AND ligand IS NOT NULL GROUP BY 1, 2)""".format(u=trim("uniprot_id"), l=trim("ligand"), a=_NUM.format("affinity"))
 _SPLITS = "splits AS (SELECT ligand, min(split) AS split, CAST(min(ligand_idx) AS INTEGER) AS ligand_idx FROM rated WHERE ligand IS NOT NULL GROUP BY ligand)"
 
 
@@ -336,10 +336,10 @@ def sequence_normalise(spark, sf):
     return table(spark, sf, "part").select("p_partkey", truncated(normal_sequence(F.col("p_name")), 12).alias("sequence"))
 
 
-_GRIDS = f"{_trim('grid')} LIKE '_%\\_%_' ESCAPE '\\' AND strpos({_trim('grid')}, '_') > 1"
+_GRIDS = f"{trim('grid')} LIKE '_%\\_%_' ESCAPE '\\' AND strpos({trim('grid')}, '_') > 1"
 
 
-@query(f"""SELECT row_id, split_part({_trim('grid')}, '_', 1) AS pdb_id, substring({_trim('grid')}, strpos({_trim('grid')}, '_') + 1) AS uniprot_id, {_trim('grid')} AS pdb_key
+@query(f"""SELECT row_id, split_part({trim('grid')}, '_', 1) AS pdb_id, substring({trim('grid')}, strpos({trim('grid')}, '_') + 1) AS uniprot_id, {trim('grid')} AS pdb_key
     FROM pose_manifest WHERE {_GRIDS}""")
 def grid_parse(spark, sf):
     rows = table(spark, sf, "pose_manifest").select("row_id", trimmed("grid").alias("grid")).where(F.col("grid").rlike("^[^_]+_.*[^_\\s].*$"))
@@ -347,7 +347,7 @@ def grid_parse(spark, sf):
     return parts.select("row_id", "g.pdb_id", "g.uniprot_id", pdb_key(F.col("g.pdb_id"), F.col("g.uniprot_id")).alias("pdb_key"))
 
 
-@query(f"SELECT row_id, {_trim('ligand')} AS ligand FROM affinity_manifest WHERE {_trim('ligand')} IS NOT NULL")
+@query(f"SELECT row_id, {trim('ligand')} AS ligand FROM affinity_manifest WHERE {trim('ligand')} IS NOT NULL")
 def variant_parse(spark, sf):
     rows = table(spark, sf, "affinity_manifest").select("row_id", trimmed("ligand").alias("l")).dropna()
     return rows.select("row_id", variant_ligand(F.concat("l", F.lit("-"), F.col("row_id").cast("string"))).alias("ligand"))
@@ -432,7 +432,7 @@ def split_counts(spark, sf):
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("uniprot_id").alias("proteins"), F.count_distinct("ligand").alias("ligands"))
 
 
-_LIGANDS = f"SELECT DISTINCT {_trim('ligand')} AS ligand FROM {{0}} WHERE {_trim('ligand')} IS NOT NULL"
+_LIGANDS = f"SELECT DISTINCT {trim('ligand')} AS ligand FROM {{0}} WHERE {trim('ligand')} IS NOT NULL"
 
 
 def _ligands(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -479,3 +479,143 @@ def csv_round_trip(spark, sf):
     path = write_csv(rows, f"{scratch_dir(spark)}/pocketloom/csv-{uuid.uuid4().hex}")
     back = typed(read_csv_checked(spark, path, rows.columns), rows.schema)
     return back.withColumn("score", F.round("score", 6))
+
+
+_DIRTY = """SELECT row_id, CASE row_id % 6 WHEN 0 THEN CAST(row_id / 4 AS VARCHAR) WHEN 1 THEN 'n/a' WHEN 2 THEN ' 7.50 ' WHEN 3 THEN '1.5x' WHEN 4 THEN NULL ELSE '-3' END AS t,
+    CASE row_id % 6 WHEN 0 THEN row_id / 4 WHEN 2 THEN 7.5 WHEN 5 THEN -3 END AS n FROM affinity_manifest"""
+
+
+@query(f"SELECT row_id, CAST(n AS DOUBLE) AS lenient, CASE WHEN n = floor(n) THEN CAST(n AS INTEGER) END AS whole FROM ({_DIRTY})")
+def dirty_numbers(spark, sf):
+    """Text of which some is no number: lenient and whole readings of it."""
+    k = F.col("row_id") % 6
+    text = F.when(k == 0, (F.col("row_id") / 4).cast("string")).when(k == 1, "n/a").when(k == 2, " 7.50 ").when(k == 3, "1.5x").when(k == 5, "-3")
+    rows = table(spark, sf, "affinity_manifest").select("row_id", text.alias("t"))
+    return rows.select("row_id", lenient_double(F.col("t")).alias("lenient"), whole_number(F.col("t")).alias("whole"))
+
+
+def _outcome(action) -> str:
+    """passes, or fails where a contract or a row of it does."""
+    try:
+        out = action()
+        if isinstance(out, DataFrame):
+            out.write.format("noop").mode("overwrite").save()
+    except (ContractError, PySparkException) as e:
+        if isinstance(e, ContractError) or "USER_RAISED_EXCEPTION" in str(e):
+            return "fails"
+        raise
+    return "passes"
+
+
+def _fails_if(name: str, condition: str) -> str:
+    return f"SELECT '{name}' AS contract, CASE WHEN {condition} THEN 'fails' ELSE 'passes' END AS outcome"
+
+
+_ANY = "EXISTS (SELECT 1 FROM {0})".format
+_CONTRACTS = " UNION ALL ".join((
+    _fails_if("protein_index", _ANY("rated ANTI JOIN proteins USING (uniprot_id) WHERE uniprot_id IS NOT NULL")),
+    _fails_if("affinity_split_join", _ANY("(SELECT * FROM pairs JOIN splits USING (ligand) WHERE split IN ('train', 'val', 'test')) ANTI JOIN proteins USING (uniprot_id)")),
+    _fails_if("descriptor_range", "(SELECT max(protein_idx) FROM usable) >= (SELECT count(*) FROM embeddings)"),
+    _fails_if("index_agrees", _ANY("usable AS u LEFT JOIN proteins AS p USING (uniprot_id) WHERE p.protein_idx IS NULL OR p.protein_idx <> u.protein_idx")),
+    _fails_if("unique_affinities", _ANY("(SELECT 1 FROM affinity_manifest GROUP BY uniprot_id, ligand HAVING count(*) > 1)")),
+    _fails_if("unique_pairs", _ANY("(SELECT 1 FROM pairs GROUP BY uniprot_id, ligand HAVING count(*) > 1)")),
+    _fails_if("grids", _ANY(f"pose_manifest WHERE grid IS NULL OR NOT ({_GRIDS})")),
+    _fails_if("good_grids", _ANY(f"(SELECT * FROM pose_manifest WHERE {_GRIDS}) WHERE NOT ({_GRIDS})")),
+    _fails_if("variants", _ANY("pose_manifest WHERE ligand IS NULL OR NOT regexp_full_match(ligand, '.+-[0-9]+')")),
+    _fails_if("strict_numbers", _ANY(f"({_DIRTY}) WHERE t IS NOT NULL AND n IS NULL")),
+    _fails_if("sequences", "true"),
+))
+
+
+@query(f"WITH {_USABLE}, {_PAIRS}, {_SPLITS}, {_PROTEINS} {_CONTRACTS}")
+def contract_outcomes(spark, sf):
+    """Which contracts the tables as they stand keep and which they break, nothing filtered out before."""
+    rated, proteins = _rated(spark, sf), _proteins(spark, sf)
+    raw = table(spark, sf, "affinity_manifest")
+    rows = raw.select(accession("uniprot_id").alias("uniprot_id"), trimmed("ligand").alias("ligand"), no_nan(F.col("affinity")).alias("affinity"))
+    pairs = rows.dropna(subset=["uniprot_id", "ligand"]).groupBy("uniprot_id", "ligand").agg(F.round(F.avg("affinity"), 6).alias("affinity"))
+    matrix = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("protein_idx"), F.col("embedding").alias("descriptor"))
+    examples_ = usable(rated)
+    grids = table(spark, sf, "pose_manifest").select(trimmed("grid").alias("grid"), "ligand")
+    k = F.col("row_id") % 6
+    dirty = F.when(k == 0, (F.col("row_id") / 4).cast("string")).when(k == 1, "n/a").when(k == 2, " 7.50 ").when(k == 3, "1.5x").when(k == 5, "-3")
+    tried = {
+        "protein_index": lambda: index_from_dictionary(rated, "uniprot_id", proteins, "protein_idx"),
+        "affinity_split_join": lambda: affinity_split_table(pairs, _splits(spark, sf), proteins),
+        "descriptor_range": lambda: with_descriptors(examples_, matrix),
+        "index_agrees": lambda: assert_index_agrees(examples_, proteins),
+        "unique_affinities": lambda: assert_unique(raw, ["uniprot_id", "ligand"], "affinities"),
+        "unique_pairs": lambda: assert_unique(pairs, ["uniprot_id", "ligand"], "pairs"),
+        "grids": lambda: grids.select(grid_parts(F.col("grid"))),
+        "good_grids": lambda: grids.where(F.col("grid").rlike("^[^_]+_.*[^_\\s].*$")).select(grid_parts(F.col("grid"))),
+        "variants": lambda: grids.select(variant_ligand(F.col("ligand"))),
+        "strict_numbers": lambda: raw.select(strict_double(dirty, "t")),
+        "sequences": lambda: assert_sequences(table(spark, sf, "affinity_split_manifest").select(F.col("protein_idx").cast("double").alias("protein_idx"), F.col("ligand").alias("sequence"))),
+    }
+    return spark.createDataFrame([(name, _outcome(f)) for name, f in tried.items()], "contract string, outcome string")
+
+
+_CELLS = "list_aggregate(list_transform(range(1, 22), lambda i: '[' || list_aggregate(list_transform(range(3 * i - 2, 3 * i + 1), lambda k: '\"' || replace(printf('%.3f', CAST(embedding[k] AS DOUBLE)), '-0.000', '0.000') || '\"'), 'string_agg', ',') || ']'), 'string_agg', ',')"
+
+
+@query(f"""SELECT vec_id, substring(sha256('{{"pos":[' || {_CELLS} || '],"x":[[' || label || ']]}}'), 1, 16) AS pose_hash FROM embeddings""")
+def graph_hashes(spark, sf):
+    """Content hashes of graphs: components three by three as positions, the label as the feature of a node."""
+    e = F.col("embedding")
+    pos = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice(e, i * 3 + 1, 3), lambda v: v.cast("double")))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.array(F.array(F.col("label").cast("int"))).alias("x"), pos.alias("pos"))
+    return rows.select("vec_id", pose_hash("x", "pos").alias("pose_hash"))
+
+
+@query("SELECT key, i, round(avg(v), 6) AS value FROM (SELECT vec_id % 16 AS key, unnest(range(1, 65)) - 1 AS i, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2")
+def mean_pool_components(spark, sf):
+    tokens = table(spark, sf, "embeddings").select((F.col("vec_id") % 16).alias("key"), "embedding")
+    every = mean_pooled(tokens, "key", "embedding").select("key", F.posexplode("pooled").alias("i", "value"))
+    return every.select("key", F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value"))
+
+
+@query("""WITH c AS (SELECT vec_id, label, unnest(range(1, 65)) - 1 AS i, unnest(embedding) AS v FROM embeddings),
+    m AS (SELECT i, avg(v) AS a, stddev_pop(v) AS s FROM c WHERE label < 8 GROUP BY i) SELECT vec_id, i, round((v - a) / s, 6) AS value FROM c JOIN m USING (i)""")
+def standardise_components(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    out = standardized(vectors, "embedding", *standard_moments(vectors.where("label < 8"), "embedding"), "z").select("vec_id", F.posexplode("z").alias("i", "value"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_USABLE} SELECT uniprot_id, protein_idx, ligand, list_aggregate(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)), 'sum')::BIGINT AS total FROM usable JOIN embeddings ON vec_id = protein_idx")
+def descriptor_sums(spark, sf):
+    """Every component of each descriptor, in thousandths, added up."""
+    total = F.aggregate("descriptor", F.lit(0).cast("bigint"), lambda acc, x: acc + F.floor(x.cast("double") * 1000))
+    return _described(spark, sf).select("uniprot_id", "protein_idx", "ligand", total.alias("total"))
+
+
+@query(f"SELECT sha256(string_agg(ligand || chr(0), '' ORDER BY ligand)) AS digest FROM ({_LIGANDS.format('affinity_manifest')})")
+def membership_digests(spark, sf):
+    return spark.createDataFrame([(membership_digest(_ligands(spark, sf, "affinity_manifest"), "ligand"),)], "digest string")
+
+
+_SHARE = "CAST(round_even(count(*) * 0.015, 0) AS BIGINT)"
+
+
+@query(f"SELECT count(*) AS ligands, {_SHARE} AS test_wanted, least(count(*) - {_SHARE}, {_SHARE}) AS val_wanted, true AS within_targets, true AS some_kept, CAST(0 AS BIGINT) AS crossing FROM embeddings")
+def greedy_targets(spark, sf):
+    """What the greedy split was to reach: no split beyond its target, ligands kept, and no edge across splits."""
+    split, ligands, edges = _greedy(spark, sf)
+    wanted = greedy.target_counts(ligands.count())
+    n = split.agg(F.count(F.lit(1)).alias("ligands"), *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")))
+    crossing = split_violations(split, ligands, edges).first()["crossing"]
+    within = (F.col("train") <= wanted["train"]) & (F.col("val") <= wanted["val"]) & (F.col("test") <= wanted["test"])
+    return n.select("ligands", *(F.lit(wanted[s]).cast("bigint").alias(f"{s}_wanted") for s in ("test", "val")), within.alias("within_targets"), (F.col("train") + F.col("val") + F.col("test") > 0).alias("some_kept"), F.lit(crossing).cast("bigint").alias("crossing"))
+
+
+@query(f"WITH {_USABLE} SELECT split, count(*) AS rows, CAST(0 AS BIGINT) AS without_prediction, CAST(0 AS BIGINT) AS wrong_errors, true AS better_than_the_mean FROM usable JOIN embeddings ON vec_id = protein_idx WHERE split = 'train' GROUP BY split")
+def model_rules(spark, sf):
+    """What must hold of model_predictions: a prediction for each row, errors that fit it, and on train, where it was
+    fitted, a squared error below that of the mean."""
+    rows = model_predictions(spark, sf).where("split = 'train'")
+    off = (F.abs(F.abs(F.col("true_affinity") - F.col("predicted_affinity")) - F.col("abs_error")) > 1e-9) | (F.abs(F.col("abs_error") * F.col("abs_error") - F.col("squared_error")) > 1e-6)
+    out = rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted_affinity").isNull()).alias("without_prediction"), F.count_if(off).alias("wrong_errors"),
+        (F.avg("squared_error") < F.var_pop("true_affinity")).alias("better_than_the_mean"),
+    )
+    return out
