@@ -16,6 +16,7 @@ from pocketloom.llm.pii import personal_information, redact
 from pocketloom.llm.setjoin import linked_texts, similar_pairs
 from pocketloom.llm.splits import FRACTIONS, assign_splits, conflicting_groups, related_groups
 from pocketloom.llm.topn import best_poses
+from pocketloom.queries.sql import trim
 from pocketloom.runtime import SPACE, accession, materialize, small, table, trimmed
 
 ACTIVE = ["train", "val", "test"]
@@ -214,16 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p2_found, p2_assign, p2_assign_linked, p2_shares, p2_rules, p2_linked_rules, p3_found, p3_links, p6_found, p7_found, p7_items, p8_mixture, p8_shares, p8_stretched_shares, p8_rules, p9_found, p9_redacted, p9_emails, p9_rules)
 }
 
-_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8239) || chr(8201) || chr(8195) || chr(12288)"
-
-
-def _trim(column: str) -> str:
-    return f"nullif(trim({column}, {_SPACE}), '')"
-
-
 _LINKS = f"""
-    SELECT DISTINCT {_trim('ligand_a')} AS a, {_trim('ligand_b')} AS b FROM ligand_match
-    WHERE lower({_trim('verdict')}) = 'match' AND {_trim('ligand_a')} <> {_trim('ligand_b')}"""
+    SELECT DISTINCT {trim('ligand_a')} AS a, {trim('ligand_b')} AS b FROM ligand_match
+    WHERE lower({trim('verdict')}) = 'match' AND {trim('ligand_a')} <> {trim('ligand_b')}"""
 
 ORACLES: dict[str, str] = {
     "p1_found": f"""
@@ -232,18 +226,18 @@ ORACLES: dict[str, str] = {
             FROM pose_manifest),
         ranked AS (
             SELECT row_id, CAST(row_number() OVER (
-                PARTITION BY upper({_trim('uniprot_id')}), {_trim('ligand')}
+                PARTITION BY upper({trim('uniprot_id')}), {trim('ligand')}
                 ORDER BY glide_score, source_sdf NULLS LAST, pose_id NULLS LAST, row_id) AS INTEGER) AS rank_no
-            FROM once WHERE rn = 1 AND {_trim('uniprot_id')} IS NOT NULL AND {_trim('ligand')} IS NOT NULL
+            FROM once WHERE rn = 1 AND {trim('uniprot_id')} IS NOT NULL AND {trim('ligand')} IS NOT NULL
                 AND glide_score IS NOT NULL AND NOT isnan(glide_score))
         SELECT row_id, rank_no FROM ranked WHERE rank_no <= 3""",
     "p2_found": f"""
-        SELECT {_trim('ligand')} AS ligand FROM affinity_split_manifest AS m
-        JOIN split_labels AS s ON lower({_trim('m.split')}) = lower({_trim('s.label')})
-        WHERE {_trim('ligand')} IS NOT NULL AND lower({_trim('s.split')}) IN ('train', 'val', 'test')
-        GROUP BY 1 HAVING count(DISTINCT lower({_trim('s.split')})) >= 2""",
+        SELECT {trim('ligand')} AS ligand FROM affinity_split_manifest AS m
+        JOIN split_labels AS s ON lower({trim('m.split')}) = lower({trim('s.label')})
+        WHERE {trim('ligand')} IS NOT NULL AND lower({trim('s.split')}) IN ('train', 'val', 'test')
+        GROUP BY 1 HAVING count(DISTINCT lower({trim('s.split')})) >= 2""",
     "p3_found": f"""
-        WITH l AS (SELECT DISTINCT {_trim('ligand')} AS ligand FROM affinity_manifest WHERE length({_trim('ligand')}) >= 8),
+        WITH l AS (SELECT DISTINCT {trim('ligand')} AS ligand FROM affinity_manifest WHERE length({trim('ligand')}) >= 8),
         t AS (SELECT DISTINCT ligand, substring(ligand, i, 8) AS piece FROM (SELECT ligand, unnest(range(1, length(ligand) - 6)) AS i FROM l)),
         n AS (SELECT ligand, count(*) AS n FROM t GROUP BY ligand),
         c AS (SELECT x.ligand AS a, y.ligand AS b, count(*) AS shared FROM t AS x JOIN t AS y ON x.piece = y.piece AND x.ligand < y.ligand GROUP BY 1, 2)
@@ -254,11 +248,11 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach AS r JOIN both_ways AS e ON r.b = e.a)
         SELECT a AS ligand, least(a, min(b)) AS group_ligand FROM reach GROUP BY a""",
 }
-_SPLIT_ROWS = f"count({_trim('ligand')}) AS assigned, count(*) - count({_trim('ligand')}) AS unassigned, CAST(0 AS BIGINT) AS split_ligands"
+_SPLIT_ROWS = f"count({trim('ligand')}) AS assigned, count(*) - count({trim('ligand')}) AS unassigned, CAST(0 AS BIGINT) AS split_ligands"
 ORACLES["p2_rules"] = f"SELECT {_SPLIT_ROWS}, true AS on_target FROM affinity_split_manifest"
 ORACLES["p2_linked_rules"] = f"SELECT {_SPLIT_ROWS}, CAST(0 AS BIGINT) AS crossing_links, true AS on_target FROM affinity_split_manifest"
 ORACLES["p8_rules"] = f"""
-    SELECT mixture, (SELECT count(DISTINCT lower({_trim('source')})) FROM mix_targets) AS sources, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS taken_twice,
+    SELECT mixture, (SELECT count(DISTINCT lower({trim('source')})) FROM mix_targets) AS sources, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS taken_twice,
         CAST(0 AS BIGINT) AS from_nowhere, CAST(0 AS BIGINT) AS reports_that_differ, CAST(0 AS BIGINT) AS off_target FROM (VALUES ('plain'), ('stretched')) AS m(mixture)"""
 ORACLES["p9_rules"] = "SELECT count(text) AS texts, CAST(0 AS BIGINT) AS not_in_text, CAST(0 AS BIGINT) AS without_placeholder, CAST(0 AS BIGINT) AS changed_beside FROM documents"
 ORACLES["p9_emails"] = r"""
