@@ -76,14 +76,14 @@ def token_frequencies(texts: DataFrame, column: str, q: int) -> np.ndarray:
 
 
 def _prefixes(column: str, q: int, threshold: float, block: int, frequencies):
-    """Rows (token, part, id, half, size, place, b0 ...): for each text the tokens that can be the rarest one shared
+    """Rows (token, part, id, half, side, size, place, b0 ...): for each text the tokens that can be the rarest one shared
     with another. part tells apart the pairs of blocks of a token's list, half which of the two a row is of."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = frequencies.value
         for batch in batches:
             rows: list[list[np.ndarray]] = []
-            for id_, text in zip(batch["id"].to_numpy(), batch[column]):
+            for id_, text, side in zip(batch["id"].to_numpy(), batch[column], batch["side"]):
                 own = substrings(text, q)
                 n = len(own)
                 if not n:
@@ -104,7 +104,7 @@ def _prefixes(column: str, q: int, threshold: float, block: int, frequencies):
                     repeats = [len(x) for x in parts]
                     place, token = np.repeat(place, repeats), np.repeat(token, repeats)
                     part, half = np.concatenate(parts), np.concatenate(halves)
-                rows.append([token, part, np.full(len(token), id_), half, np.full(len(token), n), place, *(np.full(len(token), w) for w in bitmap)])
+                rows.append([token, part, np.full(len(token), id_), half, np.full(len(token), side), np.full(len(token), n), place, *(np.full(len(token), w) for w in bitmap)])
             if rows:
                 yield pd.DataFrame(dict(zip(COLUMNS, map(np.concatenate, zip(*rows)))))
 
@@ -118,13 +118,16 @@ def _block_pairs(mine: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return low * blocks + high, np.where(low == high, 0, np.where(other > mine, 1, 2))
 
 
-COLUMNS = ["token", "part", "id", "half", "size", "place", *(f"b{k}" for k in range(WORDS))]
+COLUMNS = ["token", "part", "id", "half", "side", "size", "place", *(f"b{k}" for k in range(WORDS))]
 SCHEMA = ", ".join(f"{c} {'bigint' if c in ('token', 'id') or c[0] == 'b' else 'int'}" for c in COLUMNS)
 
 
-def similar_pairs(values: DataFrame, column: str, threshold: float = 0.6, q: int = 8, block: int = BLOCK) -> DataFrame:
-    """(a, b) with a < b by code point: all pairs of different texts in column whose sets of distinct substrings of q
-    characters have intersection size / union size >= threshold.
+def similar_pairs(
+    values: DataFrame, column: str, threshold: float = 0.6, q: int = 8, block: int = BLOCK, others: DataFrame | None = None, other_column: str | None = None
+) -> DataFrame:
+    """(a, b): all pairs of texts whose sets of distinct substrings of q characters have intersection size / union size
+    >= threshold. Within one table, of different texts in column, a < b by code point; with others, of a text a of
+    values and a text b of others (in other_column, else in column), which may be equal.
 
     Null texts and texts shorter than q have no pairs; repeated texts count once. An empty table gives no pairs.
 
@@ -139,13 +142,26 @@ def similar_pairs(values: DataFrame, column: str, threshold: float = 0.6, q: int
     if not 0 < threshold <= 1 or q < 1 or block < 1:
         raise ValueError("threshold must be above 0 and at most 1, q and block at least 1")
     spark = values.sparkSession
-    texts = values.select(F.col(column).alias("text")).where(F.length(column) >= q).distinct()
-    texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
+    texts = values.select(F.col(column).alias("text"), F.lit(1).alias("side"))
+    if others is not None:
+        texts = texts.unionByName(others.select(F.col(other_column or column).alias("text"), F.lit(2).alias("side")))
+    texts = texts.where(F.length("text") >= q).groupBy("text").agg(F.bit_or("side").alias("side"))  # 3: in both tables
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("id"), "text", "side"), "texts")
     frequencies = spark.sparkContext.broadcast(token_frequencies(texts, "text", q))
     signs = texts.mapInPandas(_prefixes("text", q, threshold, block, frequencies), SCHEMA)
     lists = signs.repartition("token", "part").sortWithinPartitions("token", "part", "size", "id")
-    pairs = lists.mapInPandas(_meetings(threshold), "i bigint, j bigint").distinct()
-    return _verified(pairs, texts, threshold, q)
+    pairs = lists.mapInPandas(_meetings(threshold, others is not None), "i bigint, j bigint").distinct()
+    if others is None:
+        return _verified(pairs, texts.select("id", "text"), threshold, q).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+    found = _verified(pairs, texts.select("id", "text"), threshold, q)
+    sides = texts.select("text", "side")
+    named = found.join(sides.toDF("s", "m"), "s").join(sides.toDF("t", "n"), "t")
+    ways = F.array(
+        F.when((F.col("m").bitwiseAND(1) > 0) & (F.col("n").bitwiseAND(2) > 0), F.struct(F.col("s").alias("a"), F.col("t").alias("b"))),
+        F.when((F.col("n").bitwiseAND(1) > 0) & (F.col("m").bitwiseAND(2) > 0), F.struct(F.col("t").alias("a"), F.col("s").alias("b"))),
+    )
+    same = texts.where("side = 3").select(F.col("text").alias("a"), F.col("text").alias("b"))
+    return named.select(F.explode(F.array_compact(ways)).alias("p")).select("p.*").unionByName(same)
 
 
 def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
@@ -167,14 +183,15 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         yield {c: np.concatenate([x[c] for x in open_]) for c in COLUMNS}
 
 
-def _meetings(threshold: float):
-    """Rows (i, j) of ids that share a prefix token and pass the length, place and bitmap filters."""
+def _meetings(threshold: float, two_tables: bool):
+    """Rows (i, j) of ids that share a prefix token and pass the length, place and bitmap filters; of two tables, only
+    those that aren't both of one alone."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[np.ndarray] = []
         count = 0
         for rows in _lists(batches):
-            for pairs in _compared(rows, threshold):
+            for pairs in _compared(rows, threshold, two_tables):
                 found.append(pairs)
                 count += len(pairs)
             if count > 200_000:
@@ -190,7 +207,7 @@ def _distinct(found: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(found), columns=["i", "j"]).drop_duplicates()
 
 
-def _compared(rows: dict[str, np.ndarray], threshold: float) -> Iterator[np.ndarray]:
+def _compared(rows: dict[str, np.ndarray], threshold: float, two_tables: bool = False) -> Iterator[np.ndarray]:
     """Pairs (smaller or equal set, larger) of one token's list, which is in order of size."""
     size, place = rows["size"].astype(np.int32), rows["place"].astype(np.int32)
     if len(size) < 2:
@@ -223,25 +240,41 @@ def _compared(rows: dict[str, np.ndarray], threshold: float) -> Iterator[np.ndar
         fits &= a + b - apart >= 2 * need
         if half is not None:
             fits &= (half[i][:, None] != half[j][None, :]) | (half[i][:, None] == 0)
+        if two_tables:
+            fits &= (rows["side"][i][:, None] | rows["side"][j][None, :]) == 3
         x, y = np.nonzero(fits)
         if len(x):
             yield np.column_stack((rows["id"][i[x]], rows["id"][j[y]]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, q: int) -> DataFrame:
+    """(s, t): the texts of those pairs (i, j) of ids that are similar enough. Sets of a whole batch are made once for
+    each text and compared together."""
     first, second = texts.toDF("i", "s"), texts.toDF("j", "t")
-    both = pairs.join(first, "i").join(second, "j").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+    both = pairs.join(first, "i").join(second, "j").select("s", "t")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = []
-            for a, b in zip(batch["a"], batch["b"]):
-                x, y = substrings(a, q), substrings(b, q)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(shared >= threshold * (len(x) + len(y) - shared) - _EPS)
-            yield batch[np.array(kept, bool)]
-
-    return both.mapInPandas(check, "a string, b string")
+            if len(batch):
+                yield batch[overlaps(batch["s"].to_numpy(object), batch["t"].to_numpy(object), threshold, q)]
+
+    return both.mapInPandas(check, "s string, t string")
+
+
+def overlaps(first: np.ndarray, second: np.ndarray, threshold: float, q: int) -> np.ndarray:
+    """Whether the sets of each two texts overlap enough: the tokens of all pairs are put in one order, where a shared
+    token stands twice within its pair."""
+    distinct, place = np.unique(np.concatenate((first, second)), return_inverse=True)
+    sets = [substrings(text, q) for text in distinct]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    tokens = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)[1].astype(np.int64)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    n = len(first)
+    pair = np.repeat(np.concatenate((np.arange(n), np.arange(n))), sizes[place])
+    at = np.arange(len(pair)) - np.repeat(np.concatenate(([0], np.cumsum(sizes[place])[:-1])), sizes[place]) + np.repeat(begins[place], sizes[place])
+    keys = np.sort(pair * (len(tokens) + 1) + tokens[at])
+    shared = np.bincount(keys[1:][keys[1:] == keys[:-1]] // (len(tokens) + 1), minlength=n)
+    return shared >= threshold * (sizes[place[:n]] + sizes[place[n:]] - shared) - _EPS
 
 
 def linked_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:

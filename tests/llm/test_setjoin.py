@@ -44,3 +44,17 @@ def test_long_text_many_pairs_and_links(spark, monkeypatch):
 
 def test_empty(spark):
     assert similar_pairs(spark.createDataFrame([], "t string"), "t").collect() == []
+
+
+def test_between_two_tables(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choices("CNO", k=rng.randrange(6, 30))) for _ in range(60)]
+    left = [*base, None, "", *base[:5]]
+    right = [t[: rng.randrange(len(t))] + rng.choice("CNO") + t[rng.randrange(len(t)) :] for t in base for _ in range(2)] + base[:10] + [None]
+    a, b = spark.createDataFrame([(t,) for t in left], "text string"), spark.createDataFrame([(t, 1) for t in right], "other string, side int")
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)}
+    want = {(x, y) for x in left if x for y in right if y and grams(x) and grams(y) and len(grams(x) & grams(y)) >= 0.6 * len(grams(x) | grams(y))}
+    for block in (50_000, 7):
+        got = [tuple(r) for r in similar_pairs(a, "text", 0.6, 4, block, b, "other").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    assert similar_pairs(a, "text", 0.6, 4, others=b.limit(0), other_column="other").collect() == []
